@@ -11,6 +11,7 @@ from sparkrill.llm import sql
 from sparkrill.llm.byte_bpe import encoded
 from sparkrill.llm.confusables import affected_fields, consistent_texts, fields_of
 from sparkrill.llm.contributor_cap import dropped_posts
+from sparkrill.llm.lsh_forest import same_text_pairs
 from sparkrill.tables import table
 
 
@@ -18,6 +19,10 @@ def p2_found(spark: SparkSession, d: str) -> DataFrame:
     return dropped_posts(table(spark, d, "posts"), table(spark, d, "contributor_caps"))
 
 
+def p3_found(spark: SparkSession, d: str) -> DataFrame:
+    return same_text_pairs(table(spark, d, "posts"), "id", "content")
+
+
 def p6_found(spark: SparkSession, d: str) -> DataFrame:
     return affected_fields(table(spark, d, "posts"), "id", ["title", "content"])
 
@@ -31,7 +36,7 @@ def p8_ids(spark: SparkSession, d: str) -> DataFrame:
 
 
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
-    return {f.__name__: f for f in (p2_found, p6_found, p6_forms, p8_ids)}
+    return {f.__name__: f for f in (p2_found, p3_found, p6_found, p6_forms, p8_ids)}
 
 
 def oracle_sql() -> dict[str, str]:
