@@ -11,10 +11,15 @@ from sparkrill.llm import sql
 from sparkrill.llm.byte_bpe import encoded
 from sparkrill.llm.confusables import affected_fields, consistent_texts, fields_of
 from sparkrill.llm.contributor_cap import dropped_posts
+from sparkrill.llm.history_dedup import repeats
 from sparkrill.llm.lsh_forest import same_text_pairs
 from sparkrill.tables import table
 
 
+def p1_found(spark: SparkSession, d: str) -> DataFrame:
+    return repeats(table(spark, d, "posts"), "id", "content", "fetched_at").select("id")
+
+
 def p2_found(spark: SparkSession, d: str) -> DataFrame:
     return dropped_posts(table(spark, d, "posts"), table(spark, d, "contributor_caps"))
 
@@ -36,7 +41,7 @@ def p8_ids(spark: SparkSession, d: str) -> DataFrame:
 
 
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
-    return {f.__name__: f for f in (p2_found, p3_found, p6_found, p6_forms, p8_ids)}
+    return {f.__name__: f for f in (p1_found, p2_found, p3_found, p6_found, p6_forms, p8_ids)}
 
 
 def oracle_sql() -> dict[str, str]:
