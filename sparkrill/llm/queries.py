@@ -13,6 +13,7 @@ from sparkrill.llm.confusables import affected_fields, consistent_texts, fields_
 from sparkrill.llm.contributor_cap import dropped_posts
 from sparkrill.llm.history_dedup import repeats
 from sparkrill.llm.lsh_forest import same_text_pairs
+from sparkrill.llm.truncation import truncated, truncation_report
 from sparkrill.tables import table
 
 
@@ -28,6 +29,14 @@ def p3_found(spark: SparkSession, d: str) -> DataFrame:
     return same_text_pairs(table(spark, d, "posts"), "id", "content")
 
 
+def p4_found(spark: SparkSession, d: str) -> DataFrame:
+    return truncated(table(spark, d, "posts"), table(spark, d, "gold_labels"))
+
+
+def p4_shares(spark: SparkSession, d: str) -> DataFrame:
+    return truncation_report(table(spark, d, "posts"), table(spark, d, "gold_labels"))
+
+
 def p6_found(spark: SparkSession, d: str) -> DataFrame:
     return affected_fields(table(spark, d, "posts"), "id", ["title", "content"])
 
@@ -41,7 +50,7 @@ def p8_ids(spark: SparkSession, d: str) -> DataFrame:
 
 
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
-    return {f.__name__: f for f in (p1_found, p2_found, p3_found, p6_found, p6_forms, p8_ids)}
+    return {f.__name__: f for f in (p1_found, p2_found, p3_found, p4_found, p4_shares, p6_found, p6_forms, p8_ids)}
 
 
 def oracle_sql() -> dict[str, str]:
