@@ -12,6 +12,7 @@ from sparkrill.llm.byte_bpe import encoded
 from sparkrill.llm.confusables import affected_fields, consistent_texts, fields_of
 from sparkrill.llm.contributor_cap import dropped_posts
 from sparkrill.llm.history_dedup import repeats
+from sparkrill.llm.langid import fit, labelled_sample, languages, relabelled
 from sparkrill.llm.lsh_forest import same_text_pairs
 from sparkrill.llm.truncation import truncated, truncation_report
 from sparkrill.tables import table
@@ -45,12 +46,23 @@ def p6_forms(spark: SparkSession, d: str) -> DataFrame:
     return consistent_texts(fields_of(table(spark, d, "posts"), "id", ["title", "content"]))
 
 
+def p7_found(spark: SparkSession, d: str) -> DataFrame:
+    return relabelled(table(spark, d, "posts"), table(spark, d, "post_langs"))
+
+
+def p7_segments(spark: SparkSession, d: str) -> DataFrame:
+    """Every post with its language, and each segment of one language with its lines and a confidence."""
+    posts = table(spark, d, "posts")
+    found = languages(posts, "id", "content", fit(labelled_sample(posts, table(spark, d, "post_langs"))))
+    return found.select(F.col("id").alias("post_id"), F.col("lang").alias("post_lang"), F.col("confidence").alias("post_confidence"), F.explode_outer("segments").alias("s")).select("post_id", "post_lang", "post_confidence", "s.*")
+
+
 def p8_ids(spark: SparkSession, d: str) -> DataFrame:
     return encoded(table(spark, d, "documents"))
 
 
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
-    return {f.__name__: f for f in (p1_found, p2_found, p3_found, p4_found, p4_shares, p6_found, p6_forms, p8_ids)}
+    return {f.__name__: f for f in (p1_found, p2_found, p3_found, p4_found, p4_shares, p6_found, p6_forms, p7_found, p7_segments, p8_ids)}
 
 
 def oracle_sql() -> dict[str, str]:
