@@ -11,6 +11,7 @@ from sparkrill.llm import sql
 from sparkrill.llm.byte_bpe import encoded
 from sparkrill.llm.confusables import affected_fields, consistent_texts, fields_of
 from sparkrill.llm.contributor_cap import dropped_posts
+from sparkrill.llm.group_split import account_members, post_splits
 from sparkrill.llm.history_dedup import repeats
 from sparkrill.llm.langid import fit, labelled_sample, languages, relabelled
 from sparkrill.llm.lsh_forest import same_text_pairs
@@ -38,6 +39,21 @@ def p4_shares(spark: SparkSession, d: str) -> DataFrame:
     return truncation_report(table(spark, d, "posts"), table(spark, d, "gold_labels"))
 
 
+def p5_found(spark: SparkSession, d: str) -> DataFrame:
+    return account_members(table(spark, d, "posts"))
+
+
+def p5_splits(spark: SparkSession, d: str) -> DataFrame:
+    return post_splits(table(spark, d, "posts"), table(spark, d, "split_targets"))
+
+
+def p5_shares(spark: SparkSession, d: str) -> DataFrame:
+    """The shares reached, beside the targets."""
+    reached = p5_splits(spark, d).groupBy("split").agg(F.count("*").alias("n_posts"), F.countDistinct("account").alias("n_accounts"))
+    total = table(spark, d, "posts").agg(F.count("*").alias("n"))
+    return table(spark, d, "split_targets").join(reached, "split", "left").crossJoin(total).select("split", "share", F.coalesce("n_posts", F.lit(0)).alias("n_posts"), F.coalesce("n_accounts", F.lit(0)).alias("n_accounts"), (F.coalesce("n_posts", F.lit(0)) / F.col("n")).alias("reached"))
+
+
 def p6_found(spark: SparkSession, d: str) -> DataFrame:
     return affected_fields(table(spark, d, "posts"), "id", ["title", "content"])
 
@@ -62,8 +78,8 @@ def p8_ids(spark: SparkSession, d: str) -> DataFrame:
 
 
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
-    return {f.__name__: f for f in (p1_found, p2_found, p3_found, p4_found, p4_shares, p6_found, p6_forms, p7_found, p7_segments, p8_ids)}
+    return {f.__name__: f for f in (p1_found, p2_found, p3_found, p4_found, p4_shares, p5_found, p5_splits, p5_shares, p6_found, p6_forms, p7_found, p7_segments, p8_ids)}
 
 
 def oracle_sql() -> dict[str, str]:
-    return {"p2_found": sql.P2_FOUND}
+    return {"p2_found": sql.P2_FOUND, "p5_found": sql.P5_FOUND}

@@ -28,3 +28,9 @@ ranked AS (
 )
 SELECT r.id FROM ranked r JOIN contributor_caps c ON c.source = r.src WHERE r.place > c.max_posts
 """
+
+P5_FOUND = f"""
+WITH named AS (SELECT id, {ACCOUNT} AS account FROM posts),
+firsts AS (SELECT account, min(id) AS first_id FROM named WHERE account IS NOT NULL GROUP BY account)
+SELECT f.first_id, n.id FROM named n JOIN firsts f ON f.account = n.account WHERE n.id > f.first_id
+"""
