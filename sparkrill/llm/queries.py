@@ -15,6 +15,7 @@ from sparkrill.llm.group_split import account_members, post_splits
 from sparkrill.llm.history_dedup import repeats
 from sparkrill.llm.langid import fit, labelled_sample, languages, relabelled
 from sparkrill.llm.lsh_forest import same_text_pairs
+from sparkrill.llm.mixing import mixed, reached_shares
 from sparkrill.llm.residue import clean_documents, residues
 from sparkrill.llm.truncation import truncated, truncation_report
 from sparkrill.tables import table
@@ -78,6 +79,14 @@ def p8_ids(spark: SparkSession, d: str) -> DataFrame:
     return encoded(table(spark, d, "documents"))
 
 
+def p9_mix(spark: SparkSession, d: str) -> DataFrame:
+    return mixed(table(spark, d, "documents"), table(spark, d, "mix_targets"))
+
+
+def p9_shares(spark: SparkSession, d: str) -> DataFrame:
+    return reached_shares(table(spark, d, "documents"), table(spark, d, "mix_targets"))
+
+
 def p10_found(spark: SparkSession, d: str) -> DataFrame:
     return residues(table(spark, d, "documents")).select("doc_id").distinct()
 
@@ -91,7 +100,7 @@ def p10_clean(spark: SparkSession, d: str) -> DataFrame:
 
 
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
-    return {f.__name__: f for f in (p1_found, p2_found, p3_found, p4_found, p4_shares, p5_found, p5_splits, p5_shares, p6_found, p6_forms, p7_found, p7_segments, p8_ids, p10_found, p10_kinds, p10_clean)}
+    return {f.__name__: f for f in (p1_found, p2_found, p3_found, p4_found, p4_shares, p5_found, p5_splits, p5_shares, p6_found, p6_forms, p7_found, p7_segments, p8_ids, p9_mix, p9_shares, p10_found, p10_kinds, p10_clean)}
 
 
 def oracle_sql() -> dict[str, str]:
