@@ -114,7 +114,8 @@ def kappa(pairs: DataFrame, a: str, b: str) -> DataFrame:
     total = cells.agg(F.coalesce(F.sum("n"), F.lit(0)).alias("n"), (F.sum(F.when(F.col("x") == F.col("y"), F.col("n")).otherwise(0)) / F.sum("n")).alias("observed"))
     left, right = cells.groupBy(F.col("x").alias("label")).agg(F.sum("n").alias("nx")), cells.groupBy(F.col("y").alias("label")).agg(F.sum("n").alias("ny"))
     chance = left.join(right, "label").agg(F.coalesce(F.sum(F.col("nx").cast("double") * F.col("ny")), F.lit(0.0)).alias("both"))
-    expected = F.col("both") / F.col("n") / F.col("n")
+    size = F.nullif("n", F.lit(0))
+    expected = F.col("both") / size / size
     return total.crossJoin(chance).select("n", "observed", expected.alias("expected"), F.when((F.col("n") == 0) | (expected >= 1), F.lit(1.0)).otherwise((F.col("observed") - expected) / (1 - expected)).alias("kappa"))
 
 
@@ -125,7 +126,8 @@ def krippendorff(ratings: DataFrame, unit: str, value: str) -> DataFrame:
     disagreed = units.agg(F.sum((F.col("m") * F.col("m") - F.col("sq")) / (F.col("m") - 1)).alias("o"), F.sum("m").alias("total"))
     totals = cells.join(units.select("u"), "u").groupBy("v").agg(F.sum("n").alias("n")).agg(F.sum(F.col("n").cast("double") * F.col("n")).alias("sq"))
     both = disagreed.crossJoin(totals)
-    observed, expected = F.col("o") / F.col("total"), (F.col("total").cast("double") * F.col("total") - F.col("sq")) / (F.col("total").cast("double") * (F.col("total") - 1))
+    total = F.col("total").cast("double")
+    observed, expected = F.col("o") / F.nullif("total", F.lit(0)), (total * total - F.col("sq")) / F.nullif(total * (total - 1), F.lit(0.0))
     return both.select(F.when(expected > 0, 1 - observed / expected).otherwise(F.lit(1.0)).alias("alpha"))
 
 

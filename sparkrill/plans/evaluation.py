@@ -111,7 +111,7 @@ def kappa(spark: SparkSession, d: str) -> DataFrame:
 _ROUNDS = "g AS (SELECT DISTINCT post_id, round, sentiment FROM gold_labels WHERE sentiment IS NOT NULL), pairs AS (SELECT a.sentiment AS x, b.sentiment AS y FROM g a JOIN g b ON b.post_id = a.post_id AND a.round = 1 AND b.round = 2)"
 KAPPA = f"""
 WITH {_ROUNDS}, t AS (SELECT count(*) AS n, avg(CAST(x = y AS INTEGER)) AS observed FROM pairs), e AS (SELECT sum(CAST(a.c AS DOUBLE) * b.c) AS s FROM (SELECT x, count(*) AS c FROM pairs GROUP BY x) a JOIN (SELECT y, count(*) AS c FROM pairs GROUP BY y) b ON a.x = b.y)
-SELECT n, round(observed, 9) AS observed, round(s / n / n, 9) AS expected, round((observed - s / n / n) / (1 - s / n / n), 9) AS kappa FROM t CROSS JOIN e
+SELECT n, round(observed, 9) AS observed, CASE WHEN n > 0 THEN round(coalesce(s, 0) / n / n, 9) END AS expected, CASE WHEN n = 0 OR coalesce(s, 0) / n / n >= 1 THEN 1.0 ELSE round((observed - coalesce(s, 0) / n / n) / (1 - coalesce(s, 0) / n / n), 9) END AS kappa FROM t CROSS JOIN e
 """
 
 
@@ -123,7 +123,7 @@ def alpha(spark: SparkSession, d: str) -> DataFrame:
 ALPHA = """
 WITH g AS (SELECT DISTINCT post_id, round, sentiment FROM gold_labels WHERE sentiment IS NOT NULL), u AS (SELECT post_id, count(*) AS m FROM g GROUP BY 1 HAVING count(*) >= 2), r AS (SELECT g.*, u.m, row_number() OVER () AS k FROM g JOIN u ON u.post_id = g.post_id),
 o AS (SELECT sum(CASE WHEN a.sentiment <> b.sentiment THEN 1.0 / (a.m - 1) ELSE 0 END) AS o FROM r a JOIN r b ON a.post_id = b.post_id AND a.k <> b.k), t AS (SELECT sum(c) AS total, sum(CAST(c AS DOUBLE) * c) AS sq FROM (SELECT sentiment, count(*) AS c FROM r GROUP BY 1))
-SELECT round(1 - (o / total) / ((CAST(total AS DOUBLE) * total - sq) / (CAST(total AS DOUBLE) * (total - 1))), 9) AS alpha FROM o CROSS JOIN t
+SELECT coalesce(round(1 - (o / total) / ((CAST(total AS DOUBLE) * total - sq) / (CAST(total AS DOUBLE) * (total - 1))), 9), 1.0) AS alpha FROM o CROSS JOIN t
 """
 
 
