@@ -17,7 +17,7 @@ def capped(records: DataFrame, max_share: float | None = None, fanout: int = 128
 
     records: id (bigint, unique), contributor (null: nobody's, always kept), score (int, null is lowest) and
     cap (most records of the contributor, the same on all its rows; null: no cap). With max_share a
-    contributor also keeps at most that share of all records. The result is records with the boolean column
+    contributor also keeps at most that share of all records. The result is those four columns and the boolean
     `kept`: per contributor the `cap` records of the highest score, of equal ones those with the smaller id.
 
     Contributors over their cap are found by a partial aggregation. For those, bounds on the score are
@@ -25,7 +25,7 @@ def capped(records: DataFrame, max_share: float | None = None, fanout: int = 128
     Repeated ids are settled as one id. An empty table gives an empty table.
     """
     rank = F.when(F.col("score").isNull(), F.lit(_NULL_SCORE_RANK)).otherwise(-F.col("score").cast("bigint"))
-    rows = records.withColumn("_rank", rank)
+    rows = records.select("id", "contributor", "score", "cap").withColumn("_rank", rank)
     sizes = rows.filter("contributor is not null").groupBy("contributor").agg(F.count("*").alias("n"), F.max("cap").alias("cap"))
     if max_share is not None:
         share = F.floor(F.lit(float(max_share)) * rows.count()).cast("bigint")

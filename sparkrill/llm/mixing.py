@@ -128,6 +128,8 @@ def mixed(docs: DataFrame, targets: DataFrame, id_col: str = "doc_id", text_col:
     tokens aren't used. Repeated rows of one id are settled alike. A target source without any text makes the total 0: then nothing is used.
     """
     wanted = sorted((r.source, float(r.target_share), int(r.max_repeats)) for r in targets.select(_source("source").alias("source"), "target_share", "max_repeats").dropna().collect())
+    if not wanted:
+        return docs.sparkSession.createDataFrame([], f"{id_col} bigint, source string, tokens bigint, copies int")
     sources, limits = [w[0] for w in wanted], [w[2] for w in wanted]
     shares = np.array([w[1] for w in wanted])
     shares = shares / shares.sum() if shares.sum() else shares

@@ -112,7 +112,7 @@ def text_keys(hashes: np.ndarray, offsets: np.ndarray) -> np.ndarray:
 
 
 def bigram_sets(hashes: np.ndarray, offsets: np.ndarray) -> list[bytes]:
-    """The set of each text's token pairs as sorted 16-bit hashes, of long texts 32-bit ones, after one byte with the width."""
+    """The set of each text's token pairs as sorted 16-bit hashes, of long texts 32-bit ones, after one byte with the width and four with the number of tokens."""
     sizes = np.diff(offsets)
     doc = np.repeat(np.arange(len(sizes)), sizes)
     pair = _rolled(hashes, 2) if len(hashes) else hashes
@@ -125,17 +125,18 @@ def bigram_sets(hashes: np.ndarray, offsets: np.ndarray) -> list[bytes]:
     at = np.searchsorted(keys, np.arange(len(sizes) + 1, dtype=np.uint64) << np.uint64(32))
     low = keys.astype(np.uint32)
     narrow = low.astype(np.uint16)
-    return [b"\4" + low[a:b].tobytes() if s > WIDE_SET else b"\2" + narrow[a:b].tobytes() for a, b, s in zip(at[:-1], at[1:], sizes)]
+    counts = sizes.astype("<u4")
+    return [b"\4" + c.tobytes() + low[a:b].tobytes() if c > WIDE_SET else b"\2" + c.tobytes() + narrow[a:b].tobytes() for a, b, c in zip(at[:-1], at[1:], counts)]
 
 
 def _set(data: bytes, width: int) -> np.ndarray:
     own = data[0]
-    values = np.frombuffer(data, np.uint32 if own == 4 else np.uint16, offset=1)
+    values = np.frombuffer(data, np.uint32 if own == 4 else np.uint16, offset=5)
     return values if own == width else np.unique(values.astype(np.uint16))
 
 
 def overlap(a: bytes, b: bytes) -> float:
-    """What two sets of bigram_sets have in common, of both taken together."""
+    """What two sets of bigram_sets have in common, of both taken together; at most the ratio of the texts' lengths in tokens."""
     width = min(a[0], b[0])
     x, y = _set(a, width), _set(b, width)
     if not len(x) or not len(y):
@@ -143,4 +144,5 @@ def overlap(a: bytes, b: bytes) -> float:
     both = np.concatenate([x, y])
     both.sort()
     shared = int((both[1:] == both[:-1]).sum())
-    return shared / (len(both) - shared)
+    m, n = int.from_bytes(a[1:5], "little"), int.from_bytes(b[1:5], "little")
+    return min(shared / (len(both) - shared), min(m, n) / max(m, n))

@@ -221,7 +221,7 @@ def cut_texts(texts: DataFrame) -> DataFrame:
     # At most SLOTS numbers, whatever the size of the corpus.
     slots = asked_rows.select(F.expr(f"cast(shiftrightunsigned(context, 20) & {SLOTS - 1} as int) AS slot")).distinct()
     bits = np.zeros(SLOTS, bool)
-    bits[slots.toPandas()["slot"].to_numpy()] = True
+    bits[slots.toPandas()["slot"].to_numpy(np.int64)] = True
     counts = _counts(filled, np.packbits(bits).tobytes())
     seen = asked_rows.join(counts, "context").filter(F.col("ends") + F.col("goes_on") >= SUPPORT)
     plain, masked = F.col("kind") < len(CONTEXTS), F.col("kind") >= len(CONTEXTS)
