@@ -53,8 +53,15 @@ def _length_of(found: Column) -> Column:
 
 def _stuffed(raw: Column, models: Column) -> Column:
     """One word repeats often and fills much of the text: longest run in the sorted words. Aliases of the post's models don't count."""
-    aliases = F.flatten(F.array(*[F.when(F.array_contains(models, slug), F.array(*[F.lit(a) for a in names])).otherwise(F.array().cast("array<string>")) for slug, names in ALIASES.items()]))
-    words = F.array_sort(F.filter(F.regexp_extract_all(F.lower(raw), F.lit("[a-z]{4,}"), F.lit(0)), lambda w: ~w.isin(*STUFFING_STOPWORDS) & ~F.array_contains(aliases, w)))
+    every = [a for names in ALIASES.values() for a in names]
+
+    def own_alias(w: Column) -> Column:
+        found = F.lit(False)
+        for slug, names in ALIASES.items():
+            found = found | (w.isin(*names) & F.array_contains(models, slug))
+        return w.isin(*every) & found
+
+    words = F.array_sort(F.filter(F.regexp_extract_all(F.lower(raw), F.lit("[a-z]{4,}"), F.lit(0)), lambda w: ~w.isin(*STUFFING_STOPWORDS) & ~own_alias(w)))
     start = F.struct(F.lit("").alias("word"), F.lit(0).alias("run"), F.lit(0).alias("best"))
 
     def step(state: Column, word: Column) -> Column:
