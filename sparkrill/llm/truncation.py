@@ -241,8 +241,9 @@ def cut_texts(texts: DataFrame) -> DataFrame:
     whole = F.col("phrase").isNotNull() & F.col("before").isNull()
     middle = (
         F.when(closing, F.lit(False))
+        # A name stands where other names do: the words before it tell more than the name alone.
+        .when(F.col("masked").isNotNull() & F.col("named") & (F.col("kind").isNull() | (size_of == 1)), F.col("masked") < END_SHARE)
         .when(F.col("share").isNotNull(), F.col("share") < END_SHARE)
-        .when(F.col("masked").isNotNull() & F.col("named"), F.col("masked") < END_SHARE)
         .otherwise(F.lit(True))
     )
     cut = F.when(F.col("how") == CUT, True).when(F.col("how") == OPEN, ~whole & (full | (F.col("contexts").isNotNull() & middle))).otherwise(F.lit(False))
