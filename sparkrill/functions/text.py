@@ -49,7 +49,7 @@ def is_ai_related(text: Column) -> Column:
 
 
 def looks_simplified(text: Column, least: int = 2) -> Column:
-    return F.coalesce(F.regexp_count(text, F.lit(f"[{SIMPLIFIED}]")) >= least, F.lit(False))
+    return F.coalesce(F.length(text) - F.length(F.translate(text, SIMPLIFIED, "")) >= least, F.lit(False))
 
 
 def cjk_ratio(text: Column) -> Column:

@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from sparkrill.functions.text import ALIASES, alias_pattern, strip_tags, unescape_html
+from sparkrill.functions.text import ALIASES, strip_tags, unescape_html
 
 # Deductions of the flags; SARCASM_DETECTED and the duplicate flags take nothing.
 DEDUCTIONS = {
@@ -86,23 +86,24 @@ def scored(posts: DataFrame) -> DataFrame:
     rows = rows.withColumn("_visible", F.concat(title, F.lit("\n"), F.col("_body")))
     raw, visible = F.col("_raw"), F.col("_visible")
     substance = F.regexp_replace(F.regexp_replace(visible, r"(?U)^\s+|\s+$", ""), r"(?U)\s+", " ")
-    words = F.regexp_extract_all(raw, F.lit("[A-Za-z]{3,}"), F.lit(0))
+    # Each costly pattern runs once a row.
+    rows = rows.withColumn("_words", F.regexp_extract_all(raw, F.lit("[A-Za-z]{3,}"), F.lit(0))).withColumn("_promo", F.regexp_count(raw, F.lit(PROMO)))
+    words, promo = F.col("_words"), F.col("_promo")
     caps = F.size(F.filter(words, lambda w: w == F.upper(w)))
-    promo = F.regexp_count(raw, F.lit(PROMO))
     deleted = title.rlike(r"(?i)^\s*\[(deleted|removed)\]\s*$") | content.rlike(r"(?i)^\s*\[(deleted|removed)\]\s*$")
     known = {slug: F.array_contains(models, slug) for slug in ALIASES}
 
-    def any_model(text: Column) -> Column:
-        found = F.lit(False)
-        for slug, named in known.items():
-            found = found | (named & text.rlike(alias_pattern(slug)))
-        return found
+    def mention(slug: str) -> str:
+        return rf"(?iU)\b(?:{'|'.join(ALIASES[slug])})\b"
 
-    # Overlapping separators: each mention is counted with a lookahead.
-    hits = F.greatest(*[F.when(named, F.regexp_count(visible, F.lit(rf"(?iU)\b(?:{'|'.join(ALIASES[slug])})\b"))).otherwise(0) for slug, named in known.items()])
-    in_title, in_body = any_model(title), any_model(F.col("_body"))
+    in_title = F.lit(False)
+    for slug, named in known.items():
+        in_title = in_title | (named & title.rlike(mention(slug)))
+    hits = F.greatest(*[F.when(named, F.regexp_count(visible, F.lit(mention(slug)))).otherwise(0) for slug, named in known.items()])
+    rows = rows.withColumn("_in_title", in_title).withColumn("_hits", hits)
+    in_title, hits = F.col("_in_title"), F.col("_hits")
     some = F.size(models) > 0
-    hidden = some & ~in_title & ~in_body
+    hidden = some & (hits == 0)
     unclear = F.forall(models, lambda m: m.isin(*AMBIGUOUS)) & ~F.lower(F.coalesce("source", F.lit(""))).isin(*TECH_SOURCES)
     context = visible.rlike(DISCUSSION) | visible.rlike(AI_CONTEXT) | visible.rlike(AI_CONTEXT_ZH) | visible.rlike(AS_PRODUCT)
     off_topic = some & ~hidden & unclear & visible.rlike(OFF_TOPIC) & ~context
@@ -128,4 +129,4 @@ def scored(posts: DataFrame) -> DataFrame:
     rows = rows.withColumn("quality_flags", F.when(deleted, F.array(F.lit("DELETED"))).otherwise(found))
     off = sum((F.when(F.array_contains("quality_flags", name), F.lit(points)).otherwise(F.lit(0)) for name, points in DEDUCTIONS.items()), F.lit(0))
     score = F.when(F.array_contains("quality_flags", "DELETED"), 0).otherwise(F.greatest(F.lit(0), 100 - off))
-    return rows.withColumn("quality_score", score.cast("int")).drop("_title", "_content", "_raw", "_body", "_visible")
+    return rows.withColumn("quality_score", score.cast("int")).drop("_title", "_content", "_raw", "_body", "_visible", "_words", "_promo", "_in_title", "_hits")
