@@ -58,6 +58,26 @@ def test_dense_region_loses_no_link(spark):
     assert pairs.distinct().count() == 90 * 89 // 2
 
 
+def _edited(rng, words, share):
+    return [rng.choice("abcdefghij") + str(rng.randrange(10**6)) if rng.random() < share else w for w in words]
+
+
+def test_near_duplicates_reworded_in_pairs(spark):
+    """Groups of two with one-word substitutions all over, by similarity against brute force."""
+    rng = random.Random(7)
+    rows, want = [], {}
+    for k in range(600):
+        words = [f"w{rng.randrange(5000)}" for _ in range(rng.randrange(20, 120))]
+        rows += [_post(2 * k, " ".join(words)), _post(2 * k + 1, " ".join(_edited(rng, words, rng.uniform(0.03, 0.16))))]
+        hashes, _, offsets = tokens([rows[-2][4], rows[-1][4]])
+        want[2 * k, 2 * k + 1] = overlap(*bigram_sets(hashes, offsets))
+    got = {(r.id_a, r.id_b) for r in lsh_forest.same_text_pairs(spark.createDataFrame(rows, POSTS), "id", "content").collect()}
+    assert got <= {p for p, j in want.items() if j >= 0.5}
+    for low, high, least in ((0.6, 0.65, 0.97), (0.65, 0.72, 0.99), (0.72, 1, 1)):
+        band = {p for p, j in want.items() if low <= j < high}
+        assert len(band) > 30 and len(band & got) >= least * len(band), (low, len(band & got), len(band))
+
+
 def test_history_over_several_calls(spark):
     posts = spark.createDataFrame([_post(1, TEXT, day=1), _post(2, TEXT, day=1), _post(3, TEXT + " again", day=2), _post(4, TEXT, day=3), _post(5, None, day=3), _post(6, "other " * 40, day=3)], POSTS).withColumn("_day", F.dayofmonth("fetched_at"))
     history = history_dedup.History(spark, partitions=3)
