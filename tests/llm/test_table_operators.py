@@ -78,6 +78,19 @@ def test_near_duplicates_reworded_in_pairs(spark):
         assert len(band) > 30 and len(band & got) >= least * len(band), (low, len(band & got), len(band))
 
 
+def test_dense_region_of_different_copies(spark):
+    """All pairs of a large region of edited copies, over several blocks and partitions."""
+    rng = random.Random(8)
+    base = [f"w{k}" for k in range(60)]
+    rows = [_post(k, " ".join(_edited(rng, base, 0.06))) for k in range(300)]
+    hashes, _, offsets = tokens([r[4] for r in rows])
+    bags = bigram_sets(hashes, offsets)
+    want = {(a, b) for b in range(300) for a in range(b) if overlap(bags[a], bags[b]) >= 0.6}
+    profile = lsh_forest.profiles(spark.createDataFrame(rows, POSTS), "id", "content").cache()
+    found = [{(r.a, r.b) for r in lsh_forest.candidates(profile, dense=d).collect()} for d in (4, 2048)]
+    assert found[0] == found[1] and len(want & found[0]) >= 0.99 * len(want)
+
+
 def test_history_over_several_calls(spark):
     posts = spark.createDataFrame([_post(1, TEXT, day=1), _post(2, TEXT, day=1), _post(3, TEXT + " again", day=2), _post(4, TEXT, day=3), _post(5, None, day=3), _post(6, "other " * 40, day=3)], POSTS).withColumn("_day", F.dayofmonth("fetched_at"))
     history = history_dedup.History(spark, partitions=3)
