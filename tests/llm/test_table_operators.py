@@ -7,7 +7,7 @@ import pytest
 from pyspark.sql import functions as F
 
 from sparkrill.llm import accounts, bisect, byte_bpe, confusables, contributor_cap, group_split, history_dedup, langid, lsh_forest, mixing, residue, truncation
-from sparkrill.llm.shingles import bigram_sets, overlap, tokens
+from sparkrill.llm.shingles import bigram_sets, overlap, shingles, tokens
 from sparkrill.tables import table
 from tests.conftest import SMALL
 
@@ -100,6 +100,30 @@ def test_history_over_several_calls(spark):
     assert history_dedup.repeats(posts.filter("false"), "id", "content", "fetched_at").count() == 0
 
 
+def test_history_behind_a_common_frame(spark):
+    """Z brings the frame and holds most prints of X, which repeats Y: Y, the first holder of few of them, is compared all the same."""
+
+    def prints(text):
+        hashes, alone, offsets = tokens([text])
+        return set(history_dedup.winnow(*shingles(hashes, alone, offsets, history_dedup.WORDS, history_dedup.CHARACTERS))[0].tolist())
+
+    for seed in range(1000):
+        rng = random.Random(seed)
+        frame, z, y = ([f"{name}{rng.randrange(10**6)}" for _ in range(size)] for name, size in (("f", 40), ("z", 60), ("y", 60)))
+        x = [f"x{k}" if k % 9 == 4 else w for k, w in enumerate(y)]
+        texts = [" ".join(frame + own) for own in (z, y, x)]
+        hashes, _, offsets = tokens(texts)
+        bags = bigram_sets(hashes, offsets)
+        pz, py, px = map(prints, texts)
+        if 0 < len((px & py) - pz) < 0.2 * len(px) <= len(px & pz) and overlap(bags[1], bags[2]) >= 0.55 and overlap(bags[0], bags[2]) < 0.45:
+            break
+    else:
+        raise AssertionError("no such texts")
+    posts = spark.createDataFrame([_post(k + 1, text, day=k + 1) for k, text in enumerate(texts)], POSTS)
+    for calls in (1, 3):
+        assert [(r.id, r.first_id) for r in history_dedup.repeats(posts, "id", "content", "fetched_at", calls=calls).collect()] == [(3, 2)]
+
+
 def test_bisection_against_sorting(spark):
     rng = random.Random(2)
     rows = [(rng.choice("aab"), rng.randrange(-5, 5) * 10**15, rng.choice([None, 1, 3])) for _ in range(300)] + [(None, 1, 1), ("a", None, 1)]
