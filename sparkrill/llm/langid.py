@@ -214,12 +214,18 @@ def languages(rows: DataFrame, id_col: str, text_col: str, dictionaries: dict[st
 def relabelled(posts: DataFrame, labels: DataFrame, min_characters: int = MIN_CHARACTERS) -> DataFrame:
     """(post_id, lang): the languages of each post whose label is missing or wrong, or whose lines are in several languages.
 
-    Posts under min_characters and undecided ones are no case. Several labels of one post count as right if one is.
+    A label counts from min_characters on, lines in several languages at any length. Undecided posts are no case. Several labels of one post count as right if one is.
     """
     dictionaries = fit(labelled_sample(posts, labels))
-    texts = posts.filter(F.length("content") >= min_characters)
-    found = languages(texts, "id", "content", dictionaries).filter("lang is not null").select("id", "lang", F.array_distinct(F.expr("transform(segments, s -> s.lang)")).alias("langs"))
+    long = F.coalesce(F.length("content") >= min_characters, F.lit(False))
+
+    def judged_texts(texts: DataFrame) -> DataFrame:
+        return languages(texts, "id", "content", dictionaries).filter("lang is not null").select("id", "lang", F.array_distinct(F.expr("transform(segments, s -> s.lang)")).alias("langs"))
+
     named = labels.select(F.col("post_id").cast("bigint").alias("id"), language_of_label(F.col("lang")).alias("label")).filter("label is not null and id is not null").distinct().groupBy("id").agg(F.collect_set("label").alias("labels"))
-    judged = found.join(named, "id", "left")
+    judged = judged_texts(posts.filter(long)).join(named, "id", "left")
     case = (F.size("langs") > 1) | F.col("labels").isNull() | ~F.array_contains("labels", F.col("lang"))
-    return judged.filter(case).select(F.col("id").alias("post_id"), F.explode("langs").alias("lang")).distinct()
+    # A short text of one line can't be in several languages.
+    short = judged_texts(posts.filter(~long & F.col("content").contains("\n"))).filter(F.size("langs") > 1)
+    cases = judged.filter(case).select("id", "langs").unionByName(short.select("id", "langs"))
+    return cases.select(F.col("id").alias("post_id"), F.explode("langs").alias("lang")).distinct()

@@ -249,3 +249,11 @@ def test_mixing(spark):
         assert abs(sum(r.tokens * r.copies for r in mix if r.source == source) / total - share) < 0.03
     assert mixing.mixed(docs.filter("false"), targets).count() == 0
     assert mixing.mixed(docs, targets.filter("false")).count() == 0
+
+
+def test_short_text_in_two_languages(spark):
+    posts, labels = table(spark, SMALL, "posts"), table(spark, SMALL, "post_langs")
+    short = spark.createDataFrame([(-1, "這個模型的回答比以前慢了很多，大家覺得呢？\nHas anyone else noticed the slow answers?"), (-2, "Has anyone else noticed\nthe slow answers?")], "id bigint, content string")
+    assert short.filter("length(content) >= 80").count() == 0
+    got = {(r.post_id, r.lang) for r in langid.relabelled(posts.select("id", "content").unionByName(short), labels).filter("post_id < 0").collect()}
+    assert got == {(-1, "zh-Hant"), (-1, "en")}
