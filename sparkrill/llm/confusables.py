@@ -33,9 +33,9 @@ HYPHENS = "‐‑"
 JOINERS = "‌‍"
 SELECTORS = "︎️"
 TURKISH = re.compile("[ğĞşŞİ]")
-_PLAIN = re.compile("[\x00-\x7e¡-¬®-İĲ-ǃ–-„…　-ヿ一-鿿！（），：；？]*")
+_PLAIN = re.compile("[\x00-\x7e¡-¬®-´¶-İĴ-ľŁ-ňŊ-žƀ-ǃ–-„…　-゘゛-ヿ一-鿿！（），：；？]*")
 #: The same class for the JVM: a text of only these characters is in its consistent form, unless it has combining marks.
-PLAIN_JAVA = r"[^\x00-\x7e¡-¬®-İĲ-ǃ–-„…　-ヿ一-鿿！（），：；？]"
+PLAIN_JAVA = r"[^\x00-\x7e¡-¬®-´¶-İĴ-ľŁ-ňŊ-žƀ-ǃ–-„…　-゘゛-ヿ一-鿿！（），：；？]"
 
 
 @lru_cache(maxsize=1)
@@ -86,6 +86,10 @@ def _latin_word(found: re.Match[str]) -> str:
     return "".join([LOOK_ALIKE.get(c, c) for c in word])
 
 
+def _turkish_word(found: re.Match[str]) -> str:
+    return "ı".join([_WORD.sub(_latin_word, part) for part in found[0].split("ı")]) if not any(_is_foreign(c) and c not in LOOK_ALIKE for c in found[0]) else found[0]
+
+
 def _without_stray_marks(text: str) -> str:
     """Joiners and variation selectors stay where they shape an emoji, an ideograph or a script that needs them."""
     kept: list[str] = []
@@ -108,8 +112,9 @@ def consistent(text: str | None) -> str | None:
     result = text
     if not table.isdisjoint(result):
         result = result.translate(replacements())
-    if not alike.isdisjoint(result) and not TURKISH.search(result):
-        result = _WORD.sub(_latin_word, result)
+    if not alike.isdisjoint(result):
+        # In a Turkish text the dotless i is a letter of its own.
+        result = _WORD.sub(_turkish_word if TURKISH.search(result) else _latin_word, result)
     if any(c in result for c in JOINERS + SELECTORS):
         result = _without_stray_marks(result)
     return unicodedata.normalize("NFC", result)

@@ -1,11 +1,13 @@
 """Text operators without Spark: brute force, exact round trips, labelled cases."""
 
+import re
 import unicodedata
 
 import pytest
 from hypothesis import given, settings
 from hypothesis import strategies as st
 
+from sparkrill.llm import confusables
 from sparkrill.llm.byte_bpe import PRE_TOKEN, encoder
 from sparkrill.llm.confusables import consistent, skeleton
 from sparkrill.llm.langid import Classifier, fit, prose
@@ -139,3 +141,16 @@ def test_languages_of_held_out_lines():
     assert [p[2] for p in parts] == ["en", "ja"] and main in ("en", "ja")
     assert judge.segments("ok")[0] is None and judge.segments("```\ncode only\n```")[0] is None
     assert "https" not in prose("see https://a.example/b now") and prose("a <b>c</b>").split() == ["a", "c"]
+
+
+def test_plain_classes_hide_nothing():
+    java = re.compile(confusables.PLAIN_JAVA)
+    for c in [*map(chr, confusables.replacements()), "\u3099", "\u309a"]:
+        assert not confusables._PLAIN.fullmatch(c) and java.search(c), hex(ord(c))
+    assert confusables.consistent("か\u3099 model 日本") == "が model 日本"
+    assert confusables.consistent("a ſ b") == "a s b"
+
+
+def test_only_the_dotless_i_is_turkish():
+    assert confusables.consistent("ağ pаypаl ışık") == "ağ paypal ışık"
+    assert confusables.consistent("ağ привет") == "ağ привет"
