@@ -36,8 +36,34 @@ def written(df: DataFrame, name: str) -> DataFrame:
     return df.sparkSession.read.schema(df.schema).parquet(path)
 
 
+def _filesystem(spark: SparkSession, path: str) -> tuple[object, object]:
+    target = spark.sparkContext._jvm.org.apache.hadoop.fs.Path(path)
+    return target.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration()), target
+
+
 def drop_folder(spark: SparkSession, path: str) -> None:
-    """Deletes a folder made by new_folder."""
-    jvm = spark.sparkContext._jvm
-    target = jvm.org.apache.hadoop.fs.Path(path)
-    target.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration()).delete(target, True)
+    """Deletes a folder; one that isn't there is no error."""
+    filesystem, target = _filesystem(spark, path)
+    filesystem.delete(target, True)
+
+
+def names_in(spark: SparkSession, path: str) -> list[str]:
+    """The names of what lies in a folder, sorted; none if there is no such folder."""
+    filesystem, target = _filesystem(spark, path)
+    return sorted(f.getPath().getName() for f in filesystem.listStatus(target)) if filesystem.exists(target) else []
+
+
+def put_text(spark: SparkSession, path: str, text: str) -> None:
+    """Writes a new small file in one step: under another name first, then renamed. An existing file stays and is an error."""
+    filesystem, target = _filesystem(spark, path)
+    draft = target.suffix(f".{uuid.uuid4().hex[:8]}")
+    out = filesystem.create(draft, True)
+    out.write(bytearray(text.encode()))
+    out.close()
+    if filesystem.exists(target) or not filesystem.rename(draft, target):
+        filesystem.delete(draft, False)
+        raise FileExistsError(path)
+
+
+def get_text(spark: SparkSession, path: str) -> str:
+    return spark.read.text(path, wholetext=True).first()[0]
