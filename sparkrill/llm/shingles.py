@@ -16,7 +16,6 @@ from sparkrill.llm.confusables import consistent
 _MUL = np.uint64(0x9E3779B97F4A7C15)
 _GAP = 0
 _DROP = -1
-WIDE_SET = 1000  # bigrams from which a set keeps 32 bits of each
 
 
 @lru_cache(maxsize=1)
@@ -112,37 +111,33 @@ def text_keys(hashes: np.ndarray, offsets: np.ndarray) -> np.ndarray:
 
 
 def bigram_sets(hashes: np.ndarray, offsets: np.ndarray) -> list[bytes]:
-    """The set of each text's token pairs as sorted 16-bit hashes, of long texts 32-bit ones, after one byte with the width and four with the number of tokens."""
+    """The set of each text's token pairs as sorted 24-bit hashes: four bytes with the number of tokens, the low 16 bits of all hashes, their high 8 bits."""
     sizes = np.diff(offsets)
     doc = np.repeat(np.arange(len(sizes)), sizes)
     pair = _rolled(hashes, 2) if len(hashes) else hashes
     left = offsets[1:][doc] - np.arange(len(hashes))
     kept = (left >= 2) | (np.diff(offsets)[doc] == 1)
     doc, pair = doc[kept], pair[kept]
-    wide = sizes[doc] > WIDE_SET
-    value = np.where(wide, pair & np.uint64(0xFFFFFFFF), pair & np.uint64(0xFFFF))
-    keys = np.unique((doc.astype(np.uint64) << np.uint64(32)) | value)
+    keys = np.unique((doc.astype(np.uint64) << np.uint64(32)) | (pair & np.uint64(0xFFFFFF)))
     at = np.searchsorted(keys, np.arange(len(sizes) + 1, dtype=np.uint64) << np.uint64(32))
-    low = keys.astype(np.uint32)
-    narrow = low.astype(np.uint16)
+    low, high = keys.astype("<u2"), (keys >> np.uint64(16)).astype(np.uint8)
     counts = sizes.astype("<u4")
-    return [b"\4" + c.tobytes() + low[a:b].tobytes() if c > WIDE_SET else b"\2" + c.tobytes() + narrow[a:b].tobytes() for a, b, c in zip(at[:-1], at[1:], counts)]
+    return [c.tobytes() + low[a:b].tobytes() + high[a:b].tobytes() for a, b, c in zip(at[:-1], at[1:], counts)]
 
 
-def _set(data: bytes, width: int) -> np.ndarray:
-    own = data[0]
-    values = np.frombuffer(data, np.uint32 if own == 4 else np.uint16, offset=5)
-    return values if own == width else np.unique(values.astype(np.uint16))
+def pair_set(data: bytes) -> np.ndarray:
+    """The sorted hashes of one set of bigram_sets."""
+    n = (len(data) - 4) // 3
+    return np.frombuffer(data, "<u2", n, 4).astype(np.uint32) | np.frombuffer(data, np.uint8, n, 4 + 2 * n).astype(np.uint32) << np.uint32(16)
 
 
 def overlap(a: bytes, b: bytes) -> float:
     """What two sets of bigram_sets have in common, of both taken together; at most the ratio of the texts' lengths in tokens."""
-    width = min(a[0], b[0])
-    x, y = _set(a, width), _set(b, width)
+    x, y = pair_set(a), pair_set(b)
     if not len(x) or not len(y):
         return 0.0
     both = np.concatenate([x, y])
     both.sort()
     shared = int((both[1:] == both[:-1]).sum())
-    m, n = int.from_bytes(a[1:5], "little"), int.from_bytes(b[1:5], "little")
+    m, n = int.from_bytes(a[:4], "little"), int.from_bytes(b[:4], "little")
     return min(shared / (len(both) - shared), min(m, n) / max(m, n))
