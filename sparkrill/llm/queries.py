@@ -14,7 +14,7 @@ from sparkrill.llm.contributor_cap import dropped_posts
 from sparkrill.llm.group_split import account_members, post_splits
 from sparkrill.llm.history_dedup import repeats
 from sparkrill.llm.langid import fit, labelled_sample, languages, relabelled
-from sparkrill.llm.lsh_forest import same_text_pairs
+from sparkrill.llm.lsh_forest import same_text_classes, same_text_pairs
 from sparkrill.llm.mixing import mixed, reached_shares
 from sparkrill.llm.residue import clean_documents, residues
 from sparkrill.llm.truncation import truncated, truncation_report
@@ -33,6 +33,11 @@ def p3_found(spark: SparkSession, d: str) -> DataFrame:
     return same_text_pairs(table(spark, d, "posts"), "id", "content")
 
 
+def p3_classes(spark: SparkSession, d: str) -> DataFrame:
+    """Every text with its class: work and result grow with the texts."""
+    return same_text_classes(table(spark, d, "posts"), "id", "content")
+
+
 def p4_found(spark: SparkSession, d: str) -> DataFrame:
     return truncated(table(spark, d, "posts"), table(spark, d, "gold_labels"))
 
@@ -100,7 +105,7 @@ def p10_clean(spark: SparkSession, d: str) -> DataFrame:
 
 
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
-    return {f.__name__: f for f in (p1_found, p2_found, p3_found, p4_found, p4_shares, p5_found, p5_splits, p5_shares, p6_found, p6_forms, p7_found, p7_segments, p8_ids, p9_mix, p9_shares, p10_found, p10_kinds, p10_clean)}
+    return {f.__name__: f for f in (p1_found, p2_found, p3_found, p3_classes, p4_found, p4_shares, p5_found, p5_splits, p5_shares, p6_found, p6_forms, p7_found, p7_segments, p8_ids, p9_mix, p9_shares, p10_found, p10_kinds, p10_clean)}
 
 
 def oracle_sql() -> dict[str, str]:

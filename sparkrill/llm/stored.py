@@ -11,7 +11,14 @@ import numpy as np
 import pyarrow as pa
 import pyarrow.fs as pafs
 import pyarrow.parquet as pq
+from pyspark.sql import DataFrame
+from pyspark.sql import functions as F
 
+from sparkrill.llm.shingles import overlap
+
+CALL_BITS, TASK_BITS = 48, 28  # bits of a place below the call, and below the task: places are call, task, row
+BLOCK_BITS = 14  # of neighbouring places that are read together
+HOT = 4096  # texts that one is held against, from which they are spread
 PIECE = 1 << 20  # rows of a piece, but for a group that is larger
 
 
@@ -29,6 +36,25 @@ def _opened(place: str) -> pq.ParquetFile:
     return pq.ParquetFile(filesystem.open_input_file(path))
 
 
+class Places:
+    """The places of the rows that one task writes, in order; made in the task."""
+
+    def __init__(self, call: int) -> None:
+        from pyspark import TaskContext
+
+        context = TaskContext.get()
+        task = context.partitionId() if context else 0
+        if task >= 1 << (CALL_BITS - TASK_BITS):
+            raise ValueError("too many tasks for one table: coalesce the input or split it")
+        self.next, self.last = (call << CALL_BITS) + (task << TASK_BITS), (call << CALL_BITS) + ((task + 1) << TASK_BITS)
+
+    def take(self, n: int) -> np.ndarray:
+        self.next += n
+        if self.next > self.last:
+            raise ValueError("too many rows in one task: split the input")
+        return np.arange(self.next - n, self.next)
+
+
 def ragged(starts: np.ndarray, sizes: np.ndarray) -> np.ndarray:
     """starts[0], starts[0] + 1, ... sizes[0] of them, then the same for the next."""
     total = int(sizes.sum())
@@ -113,3 +139,55 @@ def whole_groups(batches: Iterator[pa.RecordBatch], column: int) -> Iterator[pa.
             kept.append(batch)
     if kept:
         yield pa.Table.from_batches(kept)
+
+
+def _read(folder: str, tables: list[str], places: np.ndarray) -> pa.Table:
+    """loc, id and bag of the rows at the places, in their order."""
+    wanted, back = np.unique(places, return_inverse=True)
+    found = []
+    for file in np.unique(wanted >> TASK_BITS):
+        call, task = int(file) >> (CALL_BITS - TASK_BITS), int(file) & ((1 << (CALL_BITS - TASK_BITS)) - 1)
+        stored = Part([f for f in files_in(folder, tables[call]) if f.rsplit("/", 1)[1].startswith(f"part-{task:05d}-")])
+        found.append(stored.table("loc", wanted[wanted >> TASK_BITS == file], ["loc", "id", "bag"]))
+    table = pa.concat_tables(found)
+    locs = table.column("loc").to_numpy()
+    order = np.argsort(locs)
+    return table.take(pa.array(order[np.searchsorted(locs[order], wanted)][back]))
+
+
+def with_bags(rows: DataFrame, folder: str, tables: list[str], parts: int) -> DataFrame:
+    """rows (loc, other integers) with the id and bag of the text at loc, read where it lies: only row groups with a wanted place. Neighbours meet in a task."""
+    kept = [c for c in rows.columns if c != "loc"]
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            if batch.num_rows:
+                texts = _read(folder, tables, batch.column(0).to_numpy())
+                yield pa.RecordBatch.from_arrays([batch.column(0), *[batch.column(1 + k) for k in range(len(kept))], texts.column("id").combine_chunks(), texts.column("bag").combine_chunks()], ["loc", *kept, "id", "bag"])
+
+    near = rows.select("loc", *kept).repartition(parts, F.shiftright("loc", BLOCK_BITS)).sortWithinPartitions("loc")
+    return near.mapInArrow(run, ", ".join(["loc bigint", *[f"{c} bigint" for c in kept], "id bigint", "bag binary"]))
+
+
+def alike(pairs: DataFrame, folder: str, tables: list[str], parts: int, similarity: float) -> DataFrame:
+    """(x, y, id_x, id_y) of the pairs (x, y) of places whose token-pair sets have at least `similarity` of both in common."""
+
+    def held(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            if batch.num_rows:
+                texts = _read(folder, tables, batch.column(1).to_numpy())
+                yield pa.RecordBatch.from_arrays([batch.column(0), batch.column(1), texts.column("id").combine_chunks(), texts.column("bag").combine_chunks()], ["x", "y", "id_y", "bag"])
+
+    def own(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            if batch.num_rows:
+                texts = _read(folder, tables, batch.column(0).to_numpy())
+                hit = [overlap(x, y) >= similarity for x, y in zip(texts.column("bag").to_pylist(), batch.column(3).to_pylist())]
+                yield pa.RecordBatch.from_arrays([batch.column(0), batch.column(1), texts.column("id").combine_chunks(), batch.column(2)], ["x", "y", "id_x", "id_y"]).filter(pa.array(hit, pa.bool_()))
+
+    # Neighbouring places meet in a task; a text that very many others are held against is spread by these.
+    many = pairs.groupBy("y").agg(F.count("*").alias("n")).filter(F.col("n") > HOT).select("y", F.lit(64).alias("spread"))
+    salted = pairs.join(many, "y", "left").withColumn("salt", F.pmod(F.xxhash64("x"), F.coalesce("spread", F.lit(1))))
+    first = salted.select("x", "y", F.shiftright("y", BLOCK_BITS).alias("block"), "salt").repartition(parts, "block", "salt").sortWithinPartitions("y").select("x", "y")
+    second = first.mapInArrow(held, "x bigint, y bigint, id_y bigint, bag binary").repartition(parts, F.shiftright("x", BLOCK_BITS)).sortWithinPartitions("x")
+    return second.mapInArrow(own, "x bigint, y bigint, id_x bigint, id_y bigint")
