@@ -21,7 +21,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from sparkrill.llm.tokenizer_files import BYTE_BPE, TOKENIZERS, ranks_of
+from sparkrill.llm.tokenizer_files import BYTE_BPE, TOKENIZERS, ranks_of, ship
 
 # Fixed value: the published pre-token pattern of this vocabulary.
 PRE_TOKEN = r"""'s|'t|'re|'ve|'m|'ll|'d| ?\p{L}+| ?\p{N}+| ?[^\s\p{L}\p{N}]+|\s+(?!\S)|\s+"""
@@ -153,5 +153,6 @@ def encoded(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", fol
             values = pa.array(memoryview(ids), pa.int32()) if len(ids) else pa.array([], pa.int32())
             yield pa.RecordBatch.from_arrays([batch.column(0), pa.ListArray.from_arrays(pa.array(memoryview(ends), pa.int32()), values)], ["id", "ids"])
 
+    ship(docs.sparkSession, folder, name)
     rows = docs.select(F.col(id_col).cast("bigint").alias("id"), F.col(text_col).cast("string").alias("text"))
     return rows.mapInArrow(run, "id bigint, ids array<int>").select(F.col("id").alias(id_col), "ids")

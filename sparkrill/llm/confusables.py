@@ -22,8 +22,11 @@ from pyspark.sql import functions as F
 # Letters of other scripts, and rare Latin ones, with the Latin letter each looks like.
 LOOK_ALIKE = dict(
     zip(
-        "аеорсухіјѕԁԛԝһӏ" "АВЕКМНОРСТУХІЈЅԌԚԜҺӀ" "αινορυχκτ" "ΑΒΕΖΗΙΚΜΝΟΡΤΥΧ" "ıɑɡɩʋᴏᴄᴠᴡᴢօսոհց",
-        "aeopcyxijsdqwhl" "ABEKMHOPCTYXIJSGQWHI" "aivopuxkt" "ABEZHIKMNOPTYX" "iagivocvwzounhg",
+        "аеорсухіјѕԁԛԝһӏ" "АВЕКМНОРСТУХІЈЅԌԚԜҺӀ" "αινορυχκτ" "ΑΒΕΖΗΙΚΜΝΟΡΤΥΧ" "ıɑɡɩʋᴏᴄᴠᴡᴢօսոհց"
+        # Cherokee, Lisu, Coptic.
+        "ᎠᎡᎢᎪᎫᎬᎳᎷᎻᎽᏀᏃᏒᏔᏕᏙᏚᏞᏟᏢᏦᏴ" "ꓐꓑꓓꓔꓖꓗꓙꓚꓜꓝꓟꓠꓡꓢꓣꓦꓧꓪꓫꓬꓮꓰꓲꓳꓴ" "ⲀⲂⲈⲌⲎⲒⲔⲘⲚⲞⲢⲤⲦⲨⲬ" "ⲟⲣⲥⲭ",
+        "aeopcyxijsdqwhl" "ABEKMHOPCTYXIJSGQWHI" "aivopuxkt" "ABEZHIKMNOPTYX" "iagivocvwzounhg"
+        "DRTAJEWMHYGZRWSVSLCPKB" "BPDTGKJCZFMNLSRVHWXYAEIOU" "ABEZHIKMNOPCTYX" "opcx",
         strict=True,
     )
 )
@@ -55,7 +58,8 @@ def replacements() -> dict[int, str]:
             table[code] = ""
         elif (parts := unicodedata.decomposition(c)).startswith("<"):
             tag = parts[1 : parts.index(">")]
-            letter = kind[0] == "L" or kind == "Nd" or kind == "So" and (0x2E80 <= code <= 0x2FDF or tag == "circle" and 0x24B6 <= code <= 0x24E9)
+            # A Roman numeral of one letter is that letter.
+            letter = kind[0] == "L" or kind == "Nl" and len(found := parts.split()) == 2 and int(found[1], 16) < 0x80 or kind == "Nd" or kind == "So" and (0x2E80 <= code <= 0x2FDF or tag == "circle" and 0x24B6 <= code <= 0x24E9)
             if letter and tag in ("font", "wide", "narrow", "compat", "circle") and not 0x1100 <= code <= 0x11FF and not 0x3131 <= code <= 0x318E:
                 table[code] = unicodedata.normalize("NFKC", c)
             elif tag in ("wide", "narrow") and (kind == "Lm" or 0xFF61 <= code <= 0xFF9F):
@@ -75,7 +79,7 @@ _WORD = re.compile(r"[^\W\d_]+")
 
 
 def _is_foreign(c: str) -> bool:
-    return "Ͱ" <= c <= "ԯ" or "Ա" <= c <= "֏"
+    return "Ͱ" <= c <= "ԯ" or "Ա" <= c <= "֏" or "Ꭰ" <= c <= "ᏽ" or "Ⲁ" <= c <= "⳿" or "ꓐ" <= c <= "꓿"
 
 
 def _latin_word(found: re.Match[str]) -> str:
@@ -168,7 +172,11 @@ def consistent_texts(texts: DataFrame, with_skeleton: bool = True) -> DataFrame:
 
 
 def affected_fields(rows: DataFrame, id_col: str, fields: list[str]) -> DataFrame:
-    """(id, field) of the texts with a character in another form whose consistent form keeps their skeleton."""
+    """(id, field) of the texts that are not the ordinary one of their skeleton's group.
+
+    All originals of one skeleton look the same; the ordinary one is their consistent form. A text is affected if it differs from that
+    form and both have the same skeleton, by which a change that would alter the look is no case.
+    """
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
@@ -183,10 +191,17 @@ def affected_fields(rows: DataFrame, id_col: str, fields: list[str]) -> DataFram
 
 
 def look_alike_groups(texts: DataFrame) -> DataFrame:
-    """(skeleton, n_texts, n_forms, first_id): groups of equal skeleton that hold at least two different originals.
+    """(skeleton, n_texts, n_forms, first_id) of texts (id, field, text): groups of equal skeleton that hold at least two different originals.
 
-    Counts are exact and pre-aggregated, so one skeleton may hold any share of the rows.
+    Counts are exact and pre-aggregated, so one skeleton may hold any share of the rows. Null texts take no part.
     """
-    hashed = consistent_texts(texts).filter("form is not null").join(texts.select("id", "field", F.xxhash64("text").alias("original")), ["id", "field"])
-    per_form = hashed.groupBy("skeleton", "original").agg(F.count("*").alias("n"), F.min("id").alias("first_id"))
+    import xxhash
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            keys = [xxhash.xxh64_intdigest(skeleton(t).encode("utf-8", "surrogatepass")) - (1 << 63) for t in batch.column(1).to_pylist()]
+            yield pa.RecordBatch.from_arrays([pa.array(keys, pa.int64()), batch.column(2), batch.column(0)], ["skeleton", "original", "id"])
+
+    filled = texts.filter("text is not null").select(F.col("id").cast("bigint").alias("id"), "text", F.xxhash64("text").alias("original"))
+    per_form = filled.mapInArrow(run, "skeleton bigint, original bigint, id bigint").groupBy("skeleton", "original").agg(F.count("*").alias("n"), F.min("id").alias("first_id"))
     return per_form.groupBy("skeleton").agg(F.sum("n").alias("n_texts"), F.count("*").alias("n_forms"), F.min("first_id").alias("first_id")).filter("n_forms > 1")

@@ -7,12 +7,13 @@ from pyspark.sql import functions as F
 
 from sparkrill.llm.accounts import account, source_name
 from sparkrill.llm.bisect import cutoffs
+from sparkrill.llm.prefilter import likely
 from sparkrill.storage import written
 
 _NULL_SCORE_RANK = 1 << 32
 
 
-def capped(records: DataFrame, max_share: float | None = None, fanout: int = 128) -> DataFrame:
+def capped(records: DataFrame, max_share: float | None = None, fanout: int = 2) -> DataFrame:
     """Which records of each contributor remain.
 
     records: id (bigint, unique), contributor (null: nobody's, always kept), score (int, null is lowest) and
@@ -21,7 +22,8 @@ def capped(records: DataFrame, max_share: float | None = None, fanout: int = 128
     `kept`: per contributor the `cap` records of the highest score, of equal ones those with the smaller id.
 
     Contributors over their cap are found by a partial aggregation. For those, bounds on the score are
-    bisected for all contributors together; the ties at each cutoff score are then settled by bisecting the id.
+    bisected for all contributors together, over counts by score; the ties at each cutoff score are then settled by bisecting the id,
+    16 ways a round. Records of nobody and of contributors within their cap pass by without a shuffle.
     Repeated ids are settled as one id. An empty table gives an empty table.
     """
     rank = F.when(F.col("score").isNull(), F.lit(_NULL_SCORE_RANK)).otherwise(-F.col("score").cast("bigint"))
@@ -37,10 +39,15 @@ def capped(records: DataFrame, max_share: float | None = None, fanout: int = 128
     # Where all ties at the cutoff fit, no id needs a look.
     split = edge.filter("need < at")
     ties = rows.join(split.select("contributor", F.col("_cut").alias("_rank")), ["contributor", "_rank"]).select("contributor", "id")
-    at_id = cutoffs(ties, split, "contributor", "id", None, 256).select("contributor", F.col("cutoff").alias("_last"))
+    at_id = cutoffs(ties, split, "contributor", "id", None, max(fanout, 16)).select("contributor", F.col("cutoff").alias("_last"))
     rule = edge.select("contributor", "_cut", F.lit(True).alias("_over")).join(at_id, "contributor", "left")
     inside = (F.col("_rank") < F.col("_cut")) | ((F.col("_rank") == F.col("_cut")) & (F.col("_last").isNull() | (F.col("id") <= F.col("_last"))))
-    return rows.join(rule, "contributor", "left").withColumn("kept", F.col("_over").isNull() | F.coalesce(inside, F.lit(False))).drop("_rank", "_cut", "_over", "_last")
+    # Few contributors are over their cap: each has more than cap records. Rows without a rule never take part in the join.
+    rule = written(rule, "cap-rule")
+    wanted = likely(rows.filter("contributor is not null").withColumn("_c", F.xxhash64("contributor")), rule.select(F.xxhash64("contributor").alias("_c")), "_c", split=True)
+    judged = wanted.filter("_may").drop("_may", "_c").join(rule, "contributor", "left").withColumn("kept", F.col("_over").isNull() | F.coalesce(inside, F.lit(False))).drop("_rank", "_cut", "_over", "_last")
+    rest = wanted.filter("not _may").drop("_may", "_c", "_rank").unionByName(rows.filter("contributor is null").drop("_rank")).withColumn("kept", F.lit(True))
+    return judged.unionByName(rest.select(judged.columns))
 
 
 def latest_fetch(posts: DataFrame) -> DataFrame:
@@ -50,7 +57,7 @@ def latest_fetch(posts: DataFrame) -> DataFrame:
     return posts.join(named.unionByName(posts.filter("external_id is null").select("id")), "id", "left_semi")
 
 
-def dropped_posts(posts: DataFrame, caps: DataFrame, fanout: int = 128) -> DataFrame:
+def dropped_posts(posts: DataFrame, caps: DataFrame, fanout: int = 2) -> DataFrame:
     """Ids of the posts that contributor_caps (source, max_posts) removes. Sources without a row there, or with a null max_posts, have no cap."""
     rows = posts.select(F.col("id").cast("bigint").alias("id"), source_name(F.col("source")).alias("_source"), account(F.col("author"), F.col("source")).alias("_account"), "external_id", "fetched_at", F.col("quality_score").alias("score"))
     rows = written(rows, "cap-posts")

@@ -1,8 +1,7 @@
 """Splits in which all records of an account land together, by min-cost flow over bundles of alike components.
 
-A component is all records of one account, or one record without an account. Components are bundled by size and label, so
-that the flow network has a bounded number of bundles (sizes up to EXACT_SIZES are exact, larger ones lie in
-geometric steps). Min-cost flow fills the quotas of the splits and of each label within them, deviations cost. The flow is rounded to
+A component is all records of one account, or one record without an account; `joined_keys` gives components over several keys.
+Components are bundled by identical size and label. Min-cost flow fills the quotas of the splits and of each label within them, deviations cost. The flow is rounded to
 whole components, largest first, and the members of a bundle go to their splits in the order of a hash, by exact cutoffs.
 """
 
@@ -16,11 +15,10 @@ from pyspark.sql import functions as F
 
 from sparkrill.llm.accounts import account, source_name
 from sparkrill.llm.bisect import cutoffs
+from sparkrill.operators.components import components as linked
 from sparkrill.storage import written
 
-EXACT_SIZES = 64
-STEP = 1.15
-LARGE = 0.05  # of the smallest split: components above this are placed before the flow
+MOVED = 0.001  # of all records: roundings after which the flow is solved again
 LABEL_COST, SPLIT_COST = 1, 100
 
 
@@ -80,69 +78,77 @@ def _shares(total: int, shares: Sequence[float]) -> list[int]:
     return whole
 
 
-def quotas(bundles: list[tuple[int, str, int, int]], shares: Sequence[float]) -> list[list[int]]:
-    """For each bundle (number, label, components, records) how many of its components each split gets.
-
-    Bundles of components too large to even out are placed first, each component where most is missing; the flow then
-    shares out the rest over what the splits and their labels still lack.
-    """
-    total = sum(b[3] for b in bundles)
-    splits = len(shares)
-    missing = [float(q) for q in _shares(total, shares)]
-    labels = sorted({b[1] for b in bundles})
-    by_label = {label: [float(q) for q in _shares(sum(b[3] for b in bundles if b[1] == label), shares)] for label in labels}
-    result: list[list[int]] = [[0] * splits for _ in bundles]
-
-    def place(k: int, s: int, n: int) -> None:
-        size = bundles[k][3] / bundles[k][2]
-        result[k][s] += n
-        missing[s] -= n * size
-        by_label[bundles[k][1]][s] -= n * size
-
-    order = sorted(range(len(bundles)), key=lambda k: (-bundles[k][3] / bundles[k][2], bundles[k][0]))
-    least = min((x for x in shares if x > 0), default=1) / sum(shares) * total
-    small = []
-    for k in order:
-        if bundles[k][3] / bundles[k][2] <= LARGE * least:
-            small.append(k)
-            continue
-        for _ in range(bundles[k][2]):
-            place(k, max(range(splits), key=lambda s: (missing[s], -s)), 1)
-    if not small:
-        return result
-    node = {label: k for k, label in enumerate(labels)}
-    first_cell = 1 + len(small)
+def _filled(sizes: dict[str, int], by_label: dict[str, list[float]], missing: Sequence[float], shares: Sequence[float]) -> dict[str, list[int]]:
+    """Records of each label for each split, by min-cost flow: what a label and a split still lack costs nothing, deviations cost."""
+    labels, splits = sorted(sizes), len(shares)
+    first_cell = 1 + len(labels)
     first_split = first_cell + len(labels) * splits
     sink = first_split + splits
-    flow = Flow(sink + 1)
-    arcs: list[list[int]] = []
-    for j, k in enumerate(small):
-        _, label, _, records = bundles[k]
-        flow.edge(0, 1 + j, records, 0)
-        arcs.append([flow.edge(1 + j, first_cell + node[label] * splits + s, records, 0) for s in range(splits)])
-    rest = sum(bundles[k][3] for k in small)
-    for label in labels:
-        size = sum(bundles[k][3] for k in small if bundles[k][1] == label)
+    flow, rest = Flow(sink + 1), sum(sizes.values())
+    arcs = {}
+    for k, label in enumerate(labels):
+        flow.edge(0, 1 + k, sizes[label], 0)
         lacking = [max(x, 0.0) for x in by_label[label]]
-        for s, quota in enumerate(_shares(size, lacking if sum(lacking) else shares)):
-            cell = first_cell + node[label] * splits + s
+        for s, quota in enumerate(_shares(sizes[label], lacking if sum(lacking) else shares)):
+            cell = first_cell + k * splits + s
+            arcs[label, s] = flow.edge(1 + k, cell, sizes[label], 0)
             flow.edge(cell, first_split + s, quota, 0)
-            flow.edge(cell, first_split + s, size, LABEL_COST)
-    for s, quota in enumerate(_shares(rest, [max(x, 0.0) for x in missing])):
+            flow.edge(cell, first_split + s, sizes[label], LABEL_COST)
+    lacking = [max(x, 0.0) for x in missing]
+    for s, quota in enumerate(_shares(rest, lacking if sum(lacking) else shares)):
         flow.edge(first_split + s, sink, quota, 0)
         flow.edge(first_split + s, sink, rest, SPLIT_COST)
     flow.run(0, sink)
-    # Whole components, the largest first; what is left of a bundle goes where most is missing.
-    wanted = [[flow.edges[e ^ 1][1] * bundles[k][2] / bundles[k][3] for e in arcs[j]] for j, k in enumerate(small)]
-    for j, k in enumerate(small):
-        for s, x in enumerate(wanted[j]):
-            place(k, s, int(x + 1e-9))
-    for k in small:
-        for _ in range(bundles[k][2] - sum(result[k])):
-            place(k, max(range(splits), key=lambda s: (missing[s], -s)), 1)
+    return {label: [flow.edges[arcs[label, s] ^ 1][1] for s in range(splits)] for label in labels}
+
+
+def quotas(bundles: list[tuple[int, str, int, int]], shares: Sequence[float]) -> list[list[int]]:
+    """For each bundle (number, label, components, records) how many of its components each split gets.
+
+    The flow gives the records of each label for each split; bundles of one label are alike to it, so that it runs over labels and splits
+    only. It is rounded to whole components, bundles of large ones first, each bundle in the proportions that its label's
+    flow still has, and solved again for the rest whenever roundings have moved more than MOVED of all records.
+    """
+    total, splits = sum(b[3] for b in bundles), len(shares)
+    missing = [float(q) for q in _shares(total, shares)]
+    sizes: dict[str, int] = {}
+    for _, label, _, records in bundles:
+        sizes[label] = sizes.get(label, 0) + records
+    by_label = {label: [float(q) for q in _shares(n, shares)] for label, n in sizes.items()}
+    result: list[list[int]] = [[0] * splits for _ in bundles]
+    cells: dict[str, list[float]] = {}
+    moved = float(total)
+    for k in sorted(range(len(bundles)), key=lambda k: (-bundles[k][3] / bundles[k][2], bundles[k][0])):
+        _, label, count, records = bundles[k]
+        size = records / count
+        if moved > MOVED * total:
+            cells, moved = {name: [float(x) for x in row] for name, row in _filled(sizes, by_label, missing, shares).items()}, 0.0
+        room = [max(x, 0.0) for x in cells[label]]
+        whole = [int(count * x / sum(room) + 1e-9) if sum(room) else 0 for x in room]
+        for _ in range(count - sum(whole)):
+            s = max(range(splits), key=lambda s: (cells[label][s] - whole[s] * size, missing[s] - whole[s] * size, -s))
+            whole[s] += 1
+            moved += size
+        for s, n in enumerate(whole):
+            result[k][s] = n
+            missing[s] -= n * size
+            by_label[label][s] -= n * size
+            cells[label][s] -= n * size
+        sizes[label] -= records
     return result
 
 
+def joined_keys(rows: DataFrame, id_col: str, keys: Sequence[str]) -> DataFrame:
+    """(id, key) of each record: records that share a value of any key column, directly or over others, have the same key; one without any value a null key."""
+    node = F.xxhash64(F.lit("record"), F.col(id_col).cast("string"))
+    edges = [rows.filter(F.col(k).isNotNull()).select(node.alias("u"), F.xxhash64(F.lit(k), F.col(k).cast("string")).alias("v")) for k in keys]
+    every = edges[0]
+    for more in edges[1:]:
+        every = every.unionByName(more)
+    found = linked(every, "u", "v").select(F.col("id").alias("u"), F.col("component").cast("string").alias("key"))
+    return rows.select(F.col(id_col).alias("id"), node.alias("u")).join(found, "u", "left").select("id", "key")
+
+
 def components_of(rows: DataFrame) -> DataFrame:
     """(component, n, label) of rows (id, key, label): all rows of a key, or one row without one. The label is the most frequent one, then the smaller."""
     named = rows.withColumn("component", F.coalesce(F.concat(F.lit("k"), F.col("key")), F.concat(F.lit("r"), F.col("id").cast("string"))))
@@ -154,34 +160,33 @@ def assigned(rows: DataFrame, shares: list[tuple[str, float]]) -> DataFrame:
     """(id, key, split) of rows (id, key, label): no key in two splits, the shares of records as near to the targets as whole keys allow.
 
     shares: split name and share, not negative, in the order of preference among equals; they need not add up to 1. A null key is nobody's: such rows
-    are placed one by one. Null labels are a label. Repeated rows count repeatedly and land together. An empty table gives an empty table.
+    are placed one by one. Null labels are a label; a key's label profile is its most frequent label. Repeated rows count repeatedly and land together.
+    An empty table gives an empty table.
     """
     rows = rows.select("id", "key", F.coalesce("label", F.lit("")).alias("label"))
     components = components_of(rows).withColumn("h", F.xxhash64("component"))
-    step = F.when(F.col("n") <= EXACT_SIZES, F.col("n")).otherwise(EXACT_SIZES + F.ceil(F.log(F.col("n") / EXACT_SIZES) / F.log(F.lit(STEP))))
-    components = written(components.withColumn("bundle", F.concat_ws("\u0001", step.cast("string"), F.col("label"))), "split-components")
-    # Bounded: labels times (EXACT_SIZES + logarithm of the largest account).
+    components = written(components.withColumn("bundle", F.concat_ws("\u0001", F.col("n").cast("string"), F.col("label"))), "split-components")
+    # Different sizes add up to the rows at most: there are fewer than the root of twice their number, times the labels.
     bundles = [(r.bundle, r.label, r.c, r.w) for r in components.groupBy("bundle", "label").agg(F.count("*").alias("c"), F.sum("n").alias("w")).collect()]
     bundles.sort()
     plan = quotas([(k, label, c, w) for k, (_, label, c, w) in enumerate(bundles)], [s for _, s in shares]) if bundles else []
-    spark = rows.sparkSession
+    spark, last = rows.sparkSession, len(shares) - 1
     needs = []
     for (name, *_), counts in zip(bundles, plan):
         running = 0
         for s, n in enumerate(counts[:-1]):
             running += n
-            needs.append((name, s, running))
-    wanted = spark.createDataFrame(needs, "bundle string, s int, need bigint") if needs else spark.createDataFrame([], "bundle string, s int, need bigint")
-    placed = components.select("component", "bundle", "h")
-    result = placed
-    for s in range(len(shares) - 1):
-        cut = cutoffs(components.select("bundle", "h"), wanted.filter(F.col("s") == s).select("bundle", "need"), "bundle", "h", None, 256).select("bundle", F.col("cutoff").alias(f"cut{s}"))
-        rule = wanted.filter(F.col("s") == s).select("bundle", F.col("need").alias(f"need{s}")).join(cut, "bundle", "left")
-        result = result.join(F.broadcast(rule), "bundle", "left")
+            needs.append((name, s, running, f"{s}\u0001{name}"))
+    wanted = spark.createDataFrame(needs, "bundle string, s int, need bigint, cell string")
+    # All cutoffs of all splits together; a bundle that goes whole to one side needs none.
+    open_cells = wanted.join(components.groupBy("bundle").agg(F.count("*").alias("c")), "bundle").filter("need > 0 and need < c").select("bundle", "cell", "need")
+    cut = cutoffs(components.select("bundle", "h").join(open_cells.select("bundle", "cell"), "bundle"), open_cells.select("cell", "need"), "cell", "h", None, 256).select("cell", "cutoff")
+    rule = wanted.join(cut, "cell", "left").groupBy("bundle").agg(*[F.max(F.when(F.col("s") == s, F.col(c))).alias(f"{c}{s}") for s in range(last) for c in ("need", "cutoff")], F.lit(0).alias("any"))
+    sizes = components.groupBy("bundle").agg(F.count("*").alias("c"))
     split = F.lit(shares[-1][0])
-    for s in reversed(range(len(shares) - 1)):
-        split = F.when((F.col(f"need{s}") > 0) & (F.col(f"cut{s}").isNull() | (F.col("h") <= F.col(f"cut{s}"))), shares[s][0]).otherwise(split)
-    where = result.select("component", split.alias("split"))
+    for s in reversed(range(last)):
+        split = F.when((F.col(f"need{s}") > 0) & ((F.col(f"need{s}") >= F.col("c")) | (F.col("h") <= F.col(f"cutoff{s}"))), shares[s][0]).otherwise(split)
+    where = components.join(rule, "bundle", "left").join(sizes, "bundle").select("component", split.alias("split"))
     named = rows.withColumn("component", F.coalesce(F.concat(F.lit("k"), F.col("key")), F.concat(F.lit("r"), F.col("id").cast("string"))))
     return named.join(where, "component").select("id", "key", "split")
 
@@ -193,8 +198,8 @@ def post_splits(posts: DataFrame, targets: DataFrame) -> DataFrame:
     return assigned(rows, shares).select("id", F.col("key").alias("account"), "split")
 
 
-def account_members(posts: DataFrame) -> DataFrame:
-    """(first_id, id): each account's smallest post with each other post of it."""
-    rows = posts.select(F.col("id").cast("bigint").alias("id"), account(F.col("author"), F.col("source")).alias("key")).filter("key is not null and id is not null")
-    firsts = rows.groupBy("key").agg(F.min("id").alias("first_id"))
-    return rows.join(firsts, "key").filter("id > first_id").select("first_id", "id").distinct()
+def account_members(posts: DataFrame, targets: DataFrame) -> DataFrame:
+    """(first_id, id): of each component that the flow keeps together, an account, the smallest post with each other post. Repeated rows give repeated rows."""
+    placed = written(post_splits(posts, targets).filter("account is not null and id is not null"), "split-posts")
+    firsts = placed.groupBy("account", "split").agg(F.min("id").alias("first_id"))
+    return placed.join(firsts, ["account", "split"]).filter("id > first_id").select("first_id", "id")

@@ -36,6 +36,7 @@ _MARK = re.compile(r"(?:(?<=\s)|(?<=^))[#@＃][^\s#@]+", re.M)
 _ENTITY = re.compile(r"&(?:[a-z]+|#\d+|#x[0-9a-f]+);", re.I)
 _HAN_KANA = re.compile(r"[぀-ヿ㐀-䶿一-鿿]")
 _LETTER = re.compile(r"[A-Za-zÀ-ɏ]")
+_OTHER = re.compile(r"[^\W\d_A-Za-zÀ-ɏ぀-ヿ㐀-䶿一-鿿]")
 _DIGITS = re.compile(r"\d+")
 
 
@@ -67,11 +68,13 @@ def prose(text: str) -> str:
 
 
 def script(line: str) -> tuple[tuple[str, ...], int]:
-    """The languages of a line's script, and the weight of its letters."""
+    """The languages of a line's script, and the weight of its letters: none for a line mostly in another script."""
     if line.isascii():
         return LATIN, len(_LETTER.findall(line))
     wide = 3 * len(_HAN_KANA.findall(line))
     narrow = len(_LETTER.findall(line))
+    if (other := len(_OTHER.findall(line))) > max(wide, narrow):
+        return (), other
     return (CJK, wide + narrow) if wide > narrow else (LATIN, wide + narrow)
 
 

@@ -9,7 +9,7 @@ from pyspark.sql import functions as F
 
 from sparkrill.llm import sql
 from sparkrill.llm.byte_bpe import encoded
-from sparkrill.llm.confusables import affected_fields, consistent_texts, fields_of
+from sparkrill.llm.confusables import affected_fields, consistent_texts, fields_of, look_alike_groups
 from sparkrill.llm.contributor_cap import dropped_posts
 from sparkrill.llm.group_split import account_members, post_splits
 from sparkrill.llm.history_dedup import repeats
@@ -47,7 +47,7 @@ def p4_shares(spark: SparkSession, d: str) -> DataFrame:
 
 
 def p5_found(spark: SparkSession, d: str) -> DataFrame:
-    return account_members(table(spark, d, "posts"))
+    return account_members(table(spark, d, "posts"), table(spark, d, "split_targets"))
 
 
 def p5_splits(spark: SparkSession, d: str) -> DataFrame:
@@ -69,6 +69,11 @@ def p6_forms(spark: SparkSession, d: str) -> DataFrame:
     return consistent_texts(fields_of(table(spark, d, "posts"), "id", ["title", "content"]))
 
 
+def p6_groups(spark: SparkSession, d: str) -> DataFrame:
+    """Texts that look the same but are written differently, by equal skeleton."""
+    return look_alike_groups(fields_of(table(spark, d, "posts"), "id", ["title", "content"]))
+
+
 def p7_found(spark: SparkSession, d: str) -> DataFrame:
     return relabelled(table(spark, d, "posts"), table(spark, d, "post_langs"))
 
@@ -105,7 +110,7 @@ def p10_clean(spark: SparkSession, d: str) -> DataFrame:
 
 
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
-    return {f.__name__: f for f in (p1_found, p2_found, p3_found, p3_classes, p4_found, p4_shares, p5_found, p5_splits, p5_shares, p6_found, p6_forms, p7_found, p7_segments, p8_ids, p9_mix, p9_shares, p10_found, p10_kinds, p10_clean)}
+    return {f.__name__: f for f in (p1_found, p2_found, p3_found, p3_classes, p4_found, p4_shares, p5_found, p5_splits, p5_shares, p6_found, p6_forms, p6_groups, p7_found, p7_segments, p8_ids, p9_mix, p9_shares, p10_found, p10_kinds, p10_clean)}
 
 
 def oracle_sql() -> dict[str, str]:

@@ -1,6 +1,7 @@
 """Template residue, filler, error pages and script notices in place of content.
 
-Lines are counted by host; lines that recur in most documents of a host are its boilerplate and are subtracted. What is left is read
+Lines are counted by host; lines that recur in most documents of a host are its boilerplate and are subtracted. What is left (of a page
+that is nothing but boilerplate, all of it) is read
 sentence by sentence, without code and quotations: a placeholder or a value that stands where a word should, a sentence
 that is filler, or one that begins as an error page or a notice that scripts are required does. A sentence that
 only talks about such things begins otherwise.
@@ -15,9 +16,13 @@ import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
+from sparkrill.llm.prefilter import likely
+from sparkrill.storage import written
+
 HOST_SHARE = 0.5  # of a host's documents that have a line, for boilerplate
-HOST_COUNT = 10
-LONGEST_NOTICE = 220
+HOST_COUNT = 10  # and documents that have it at least: of fewer, nothing can be called recurrent
+BARE = 0.9  # of the letters of a page that is nothing but recurrent lines
+FEW_LINES = 500_000  # recurrent lines of all hosts together that are given to all tasks
 LOREM_WORDS = 3
 
 _CODE = re.compile(r"```.*?(?:```|\Z)|<(code|pre)\b.*?</\1>", re.S | re.I)
@@ -139,15 +144,25 @@ def _sentences(bare: str) -> Iterator[str]:
                     yield sentence
 
 
+def _bare_page(text: str) -> str | None:
+    """The kind of residue of a page that is nothing but its host's recurrent lines: if such lines make up BARE of it."""
+    lines = [(sum(map(str.isalpha, line)), evidence(line)) for line in text.split("\n") if line.strip()]
+    found = [(n, kind) for n, kind in lines if kind]
+    return max(found)[1] if found and sum(n for n, _ in found) >= BARE * sum(n for n, _ in lines) else None
+
+
 def evidence(text: str, boilerplate: frozenset[int] = frozenset()) -> str | None:
     """The kind of residue in a text (placeholder, filler, error, script), null if there is none. Whole texts of any length.
 
-    boilerplate: hashes of the host's recurrent lines, which are left out before.
+    boilerplate: hashes of the host's recurrent lines, which are left out before, unless nothing else is left: a page that is nothing but them is residue if BARE of it is.
     """
     if boilerplate:
         import xxhash
 
-        text = "\n".join([line for line in text.split("\n") if xxhash.xxh64_intdigest(normal_line(line).encode("utf-8", "surrogatepass"), seed=42) not in boilerplate])
+        rest = "\n".join([line for line in text.split("\n") if xxhash.xxh64_intdigest(normal_line(line).encode("utf-8", "surrogatepass"), seed=42) not in boilerplate])
+        if not any(map(str.isalpha, rest)):
+            return _bare_page(text)
+        text = rest
     low = text.lower()
     errors = [h for h in _ERROR_HINTS if h in low]
     numbered = bool(_STATUS.search(text))
@@ -164,15 +179,12 @@ def evidence(text: str, boilerplate: frozenset[int] = frozenset()) -> str | None
     if not (errors or numbered or scripts or fillers or wide):
         return None
     for sentence in _sentences(bare):
-        if len(sentence) <= LONGEST_NOTICE:
-            small = sentence.lower()
-            if (numbered and _STATUS.search(small[:24]) or any(h in small for h in errors)) and ERROR_PAGE.match(small):
-                return "error"
-            if scripts and any(h in small for h in scripts) and SCRIPTS.match(small):
-                return "script"
-            if fillers and any(h in small for h in fillers) and _filler(small):
-                return "filler"
-        elif fillers and any(h in sentence.lower() for h in fillers) and _filler(sentence):
+        small = sentence.lower()
+        if (numbered and _STATUS.search(small[:24]) or any(h in small for h in errors)) and ERROR_PAGE.match(small):
+            return "error"
+        if scripts and any(h in small for h in scripts) and SCRIPTS.match(small):
+            return "script"
+        if fillers and any(h in small for h in fillers) and _filler(small):
             return "filler"
         if wide and _repeated(sentence):
             return "filler"
@@ -216,9 +228,19 @@ def residues(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", do
             kinds = [evidence(t, frozenset([x & 0xFFFFFFFFFFFFFFFF for x in lines]) if lines else frozenset()) for t, lines in zip(batch.column(1).to_pylist(), batch.column(2).to_pylist())]
             yield pa.RecordBatch.from_arrays([batch.column(0), pa.array(kinds, pa.string())], ["id", "kind"]).filter(pa.array([k is not None for k in kinds], pa.bool_()))
 
-    known = boilerplate(docs, id_col, text_col, domain_col)
+    known = written(boilerplate(docs, id_col, text_col, domain_col), "residue-lines")
     texts = docs.filter(F.col(text_col).rlike(r"\S")).select(F.col(id_col).cast("bigint").alias("id"), F.col(text_col).alias("text"), host_of(F.col(domain_col)).alias("host"))
-    return texts.join(known, "host", "left").select("id", "text", "lines").mapInArrow(run, "id bigint, kind string").select(F.col("id").alias(id_col), "kind")
+    size = known.agg(F.coalesce(F.sum(F.size("lines")), F.lit(0)) + F.count("*")).first()[0]
+    if size <= FEW_LINES:
+        # A hash and its host's name: some tens of megabytes at most. No text moves.
+        joined = texts.join(F.broadcast(known), "host", "left")
+    else:
+        # Only documents of hosts that have recurrent lines move.
+        both = likely(texts.filter("host is not null"), known.select("host"), "host", split=True)
+        none = F.lit(None).cast("array<bigint>").alias("lines")
+        still = both.filter("not _may").select("id", "text", none).unionByName(texts.filter("host is null").select("id", "text", none))
+        joined = both.filter("_may").drop("_may").join(known, "host", "left").select("id", "text", "lines").unionByName(still)
+    return joined.select("id", "text", "lines").mapInArrow(run, "id bigint, kind string").select(F.col("id").alias(id_col), "kind")
 
 
 def clean_documents(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", domain_col: str = "domain") -> DataFrame:

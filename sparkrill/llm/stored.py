@@ -15,9 +15,10 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from sparkrill.llm.shingles import overlap
+from sparkrill.storage import written
 
 CALL_BITS, TASK_BITS = 48, 28  # bits of a place below the call, and below the task: places are call, task, row
-BLOCK_BITS = 14  # of neighbouring places that are read together
+BLOCK_BITS = 11  # of neighbouring places that are read together
 HOT = 4096  # texts that one is held against, from which they are spread
 PIECE = 1 << 20  # rows of a piece, but for a group that is larger
 
@@ -185,6 +186,7 @@ def alike(pairs: DataFrame, folder: str, tables: list[str], parts: int, similari
                 hit = [overlap(x, y) >= similarity for x, y in zip(texts.column("bag").to_pylist(), batch.column(3).to_pylist())]
                 yield pa.RecordBatch.from_arrays([batch.column(0), batch.column(1), texts.column("id").combine_chunks(), batch.column(2)], ["x", "y", "id_x", "id_y"]).filter(pa.array(hit, pa.bool_()))
 
+    pairs = written(pairs, "alike-pairs")
     # Neighbouring places meet in a task; a text that very many others are held against is spread by these.
     many = pairs.groupBy("y").agg(F.count("*").alias("n")).filter(F.col("n") > HOT).select("y", F.lit(64).alias("spread"))
     salted = pairs.join(many, "y", "left").withColumn("salt", F.pmod(F.xxhash64("x"), F.coalesce("spread", F.lit(1))))

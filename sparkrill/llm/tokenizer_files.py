@@ -2,13 +2,24 @@
 
 from __future__ import annotations
 
+import os
+
+from pyspark import SparkFiles
+from pyspark.sql import SparkSession
+
 TOKENIZERS = "/opt/tokenizers"
 BYTE_BPE = "byte_bpe_50k.tiktoken"
 
 
+def ship(spark: SparkSession, folder: str = TOKENIZERS, name: str = BYTE_BPE) -> None:
+    """Gives the driver's vocabulary file, a few megabytes, to the executors: they need not hold the folder."""
+    spark.sparkContext.addFile(f"{folder}/{name}")
+
+
 def ranks_of(folder: str = TOKENIZERS, name: str = BYTE_BPE) -> dict[bytes, int]:
-    """Token bytes to rank."""
+    """Token bytes to rank, from the shipped file or else the folder."""
     import base64
 
-    with open(f"{folder}/{name}", "rb") as lines:
+    shipped = SparkFiles.get(name)
+    with open(shipped if os.path.exists(shipped) else f"{folder}/{name}", "rb") as lines:
         return {base64.b64decode(token): int(rank) for token, rank in map(bytes.split, lines)}

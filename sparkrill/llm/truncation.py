@@ -20,6 +20,7 @@ from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
 from sparkrill.llm.accounts import source_name
+from sparkrill.llm.prefilter import marked, slots_for
 from sparkrill.llm.shingles import _tables, mixed
 from sparkrill.storage import written
 
@@ -31,7 +32,6 @@ MASKED = (3, 2)  # tokens before an unknown last token
 SUPPORT = 3
 END_SHARE = 0.1
 RECURRING = 5  # texts in which a closing phrase stands at least, after 3 different words
-SLOTS = 1 << 22  # slots of the filter for the contexts that are asked for
 TAIL = 400
 _STEP = 2000
 _MUL = np.uint64(0x9E3779B97F4A7C15)
@@ -167,8 +167,8 @@ def _has_token(text: str) -> bool:
     return bool((fold[np.frombuffer(text.encode("utf-32-le", "surrogatepass"), np.uint32)] > 0).any())
 
 
-def _slot(contexts: np.ndarray) -> np.ndarray:
-    return (contexts.view(np.uint64) >> np.uint64(20)) & np.uint64(SLOTS - 1)
+def _slot(contexts: np.ndarray, size: int) -> np.ndarray:
+    return (contexts.view(np.uint64) >> np.uint64(20)) & np.uint64(size - 1)
 
 
 def _counts(texts: DataFrame, asked: bytes) -> DataFrame:
@@ -182,7 +182,7 @@ def _counts(texts: DataFrame, asked: bytes) -> DataFrame:
                 hashes, ends, last, begin = _sentences(values[first : first + _STEP])
                 found, ended = [], []
                 for _, has, value in _contexts(hashes, begin):
-                    ok = filled[_slot(value)] & (ends[has] | ~last[has])
+                    ok = filled[_slot(value, len(filled))] & (ends[has] | ~last[has])
                     found.append(value[ok])
                     ended.append(ends[has][ok])
                 if found and len(all_found := np.concatenate(found)):
@@ -218,11 +218,11 @@ def cut_texts(texts: DataFrame) -> DataFrame:
     ends = written(_endings(filled.select("tbl", F.col("id").cast("bigint").alias("id"), F.col("round").cast("int").alias("round"), F.coalesce("source", F.lit("")).alias("source"), "text")), "cut-endings")
     unsure = ends.filter(F.col("how") == OPEN)
     asked_rows = unsure.select("tbl", "id", "round", F.posexplode("contexts").alias("kind", "context")).filter("context is not null")
-    # At most SLOTS numbers, whatever the size of the corpus.
-    slots = asked_rows.select(F.expr(f"cast(shiftrightunsigned(context, 20) & {SLOTS - 1} as int) AS slot")).distinct()
-    bits = np.zeros(SLOTS, bool)
-    bits[slots.toPandas()["slot"].to_numpy(np.int64)] = True
-    counts = _counts(filled, np.packbits(bits).tobytes())
+    # The filter's size follows the contexts asked for, up to 8 megabytes of bits.
+    asked_rows = written(asked_rows, "cut-asked")
+    size = slots_for(asked_rows.agg(F.approx_count_distinct("context")).first()[0])
+    slots = asked_rows.select(F.expr(f"cast(shiftrightunsigned(context, 20) & {size - 1} as int) AS slot"))
+    counts = _counts(filled, marked(slots.repartition(8), size))
     seen = asked_rows.join(counts, "context").filter(F.col("ends") + F.col("goes_on") >= SUPPORT)
     plain, masked = F.col("kind") < len(CONTEXTS), F.col("kind") >= len(CONTEXTS)
     share = F.col("ends") / (F.col("ends") + F.col("goes_on"))

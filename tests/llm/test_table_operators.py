@@ -6,7 +6,8 @@ import random
 import pytest
 from pyspark.sql import functions as F
 
-from sparkrill.llm import accounts, bisect, byte_bpe, confusables, contributor_cap, group_split, history_dedup, langid, lsh_forest, mixing, residue, truncation
+from sparkrill.llm import accounts, bisect, byte_bpe, confusables, contributor_cap, group_split, history_dedup, langid, lsh_forest, mixing, residue, stored, truncation
+from sparkrill import storage
 from sparkrill.llm.shingles import bigram_sets, overlap, shingles, tokens
 from sparkrill.tables import table
 from tests.conftest import SMALL
@@ -78,17 +79,41 @@ def test_near_duplicates_reworded_in_pairs(spark):
         assert len(band) > 30 and len(band & got) >= least * len(band), (low, len(band & got), len(band))
 
 
+def test_near_duplicates_down_to_the_threshold(spark):
+    """Groups of two that have 0.5 to 0.6 in common: at least 0.9 of them."""
+    rng = random.Random(17)
+    rows, want = [], set()
+    for k in range(500):
+        words = [f"w{rng.randrange(5000)}" for _ in range(rng.randrange(40, 200))]
+        rows += [_post(2 * k, " ".join(words)), _post(2 * k + 1, " ".join(_edited(rng, words, rng.uniform(0.13, 0.18))))]
+        hashes, _, offsets = tokens([rows[-2][4], rows[-1][4]])
+        if 0.5 <= overlap(*bigram_sets(hashes, offsets)) < 0.6:
+            want.add((2 * k, 2 * k + 1))
+    got = {(r.id_a, r.id_b) for r in lsh_forest.same_text_pairs(spark.createDataFrame(rows, POSTS), "id", "content").collect()}
+    assert len(want) > 150 and len(want & got) >= 0.9 * len(want), (len(want & got), len(want))
+
+
 def test_dense_region_of_different_copies(spark):
-    """All pairs of a large region of edited copies, over several blocks and partitions."""
+    """All pairs of a cluster of edited copies that many signature orders hold side by side."""
     rng = random.Random(8)
     base = [f"w{k}" for k in range(60)]
     rows = [_post(k, " ".join(_edited(rng, base, 0.06))) for k in range(300)]
     hashes, _, offsets = tokens([r[4] for r in rows])
     bags = bigram_sets(hashes, offsets)
-    want = {(a, b) for b in range(300) for a in range(b) if overlap(bags[a], bags[b]) >= 0.6}
-    profile = lsh_forest.profiles(spark.createDataFrame(rows, POSTS), "id", "content").cache()
-    found = [{(r.a, r.b) for r in lsh_forest.candidates(profile, dense=d).collect()} for d in (4, 2048)]
-    assert found[0] == found[1] and len(want & found[0]) >= 0.99 * len(want)
+    want = {(a, b) for b in range(300) for a in range(b) if overlap(bags[a], bags[b]) >= 0.5}
+    for dense, least in ((8, 0.99), (256, 1)):
+        got = {(r.id_a, r.id_b) for r in lsh_forest.same_text_pairs(spark.createDataFrame(rows, POSTS), "id", "content", dense=dense).collect()}
+        assert got <= want and len(got) >= least * len(want), (dense, len(got), len(want))
+
+
+def test_large_cluster_in_linear_work(spark):
+    """20,000 texts one word apart are one class, with a number of candidates that grows with the texts and not with their pairs."""
+    base = [f"w{k}" for k in range(80)]
+    rows = spark.range(20_000, numPartitions=8).select("id", F.concat_ws(" ", F.lit(" ".join(base[:40])), F.concat(F.lit("x"), "id"), F.lit(" ".join(base[40:]))).alias("content"))
+    rows = rows.unionByName(spark.createDataFrame([(30_000, " ".join(f"v{k}" for k in range(80)))], "id bigint, content string"))
+    forest = lsh_forest.Forest(rows, "id", "content", trees=8)
+    assert forest.edges.count() < 8 * 20_000 * (2 * lsh_forest.NEAR + 2)
+    assert {tuple(r) for r in forest.classes().groupBy("class").count().collect()} == {(0, 20_000), (30_000, 1)}
 
 
 def test_history_over_several_calls(spark):
@@ -100,6 +125,78 @@ def test_history_over_several_calls(spark):
     assert history_dedup.repeats(posts.filter("false"), "id", "content", "fetched_at").count() == 0
 
 
+def test_history_of_reopened_stores(spark):
+    """Ten daily batches through ten stores that are opened anew give what one call gives; so does a compacted store, and a call that failed leaves no trace."""
+    rng = random.Random(21)
+    texts = [" ".join(f"w{rng.randrange(3000)}" for _ in range(rng.randrange(15, 80))) for _ in range(120)]
+    rows = []
+    for k in range(400):
+        words = rng.choice(texts).split()
+        rows.append(_post(k, " ".join(words if rng.random() < 0.3 else _edited(rng, words, 0.04)), day=1 + k * 10 // 400))
+    posts = spark.createDataFrame(rows, POSTS).withColumn("_day", F.dayofmonth("fetched_at")).cache()
+    want = {r.id for r in history_dedup.repeats(posts, "id", "content", "fetched_at", calls=1).collect()}
+    folder, got = storage.new_folder(spark, "test-history"), set()
+    for day in range(1, 11):
+        own = posts.filter(F.col("_day") == day)
+        history = history_dedup.History(spark, folder, partitions=3)
+        if day == 5:
+            with pytest.raises(Exception):
+                history.admit(own.withColumn("content", F.raise_error(F.lit("broken"))), "id", "content", "_day")
+        if day == 7:
+            history.compact()
+        got |= {r.id for r in history_dedup.History(spark, folder).admit(own, "id", "content", "_day").collect()}
+    assert got == want and len(want) > 150
+    assert len(history_dedup.History(spark, folder).manifest["texts"]) == 10
+
+
+def test_history_finds_the_copy_of_a_digest(spark):
+    """Each fingerprint of the digest was held before by a post of its own; the digest's exact and edited copies are found all the same."""
+    parts = [" ".join(f"p{k}w{j}" for j in range(30)) for k in range(5)]
+    texts = parts + [" ".join(parts)] * 2 + [" ".join(parts).replace("w7 ", "w7x ")]
+    posts = spark.createDataFrame([_post(k, t, day=1 + max(0, k - 4)) for k, t in enumerate(texts)], POSTS)
+    for calls in (1, 4):
+        assert {r.id for r in history_dedup.repeats(posts, "id", "content", "fetched_at", calls=calls).collect()} == {6, 7}
+
+
+def test_history_with_a_fingerprint_of_very_many(spark):
+    """A frame in more posts than a rare fingerprint has, as a small and as the greater part of the texts, against all pairs."""
+    rng = random.Random(22)
+    rows = []
+    for size, frame in ((30, [f"f{j}" for j in range(25)]), (22, [f"g{j}" for j in range(40)])):
+        for _ in range(150):
+            own = [f"u{rng.randrange(10**6)}" for _ in range(size)]
+            text = frame[:20] + own + frame[20:]
+            rows.append(text)
+            if rng.random() < 0.3:
+                rows.append([w if w in frame or rng.random() > 0.08 else "e" + w for w in text])
+    rng.shuffle(rows)
+    posts = [_post(k, " ".join(r), day=1 + k % 6) for k, r in enumerate(rows)]
+    hashes, _, offsets = tokens([r[4] for r in posts])
+    bags = bigram_sets(hashes, offsets)
+    want = {b for b in range(len(posts)) if any(posts[a][6] < posts[b][6] and overlap(bags[a], bags[b]) >= 0.5 for a in range(len(posts)))}
+    frame = spark.createDataFrame(posts, POSTS)
+    for calls in (1, 2):
+        got = {r.id for r in history_dedup.repeats(frame, "id", "content", "fetched_at", calls=calls).collect()}
+        assert got <= want and len(got) >= 0.97 * len(want) > 30, (len(got), len(want))
+
+
+def test_pieces_of_sorted_files(tmp_path, monkeypatch):
+    import numpy as np
+    import pyarrow as pa
+    import pyarrow.parquet as pq
+
+    monkeypatch.setattr(stored, "PIECE", 10)
+    values = np.sort(np.repeat(np.arange(12), [1, 3, 30, 2, 2, 9, 9, 1, 1, 1, 25, 1]))
+    pq.write_table(pa.table({"k": values, "v": np.arange(len(values))}), f"{tmp_path}/part-00000-a.parquet", row_group_size=7)
+    part = stored.Part(stored.files_in(str(tmp_path), "."))
+    pieces = list(part.sorted_pieces(["k", "v"], "k"))
+    assert np.concatenate([p[1] for p, _ in pieces]).tolist() == list(range(len(values)))
+    for (first, whole), (second, _) in zip(pieces, pieces[1:]):
+        assert not whole or first[0][-1] != second[0][0]
+    assert part.among("k", np.array([3, 11]), ["k", "v"])[0].tolist() == [3, 3, 11]
+    assert stored.files_in(str(tmp_path), "none") == []
+
+
 def test_history_behind_a_common_frame(spark):
     """Z brings the frame and holds most prints of X, which repeats Y: Y, the first holder of few of them, is compared all the same."""
 
@@ -171,7 +268,23 @@ def test_splits(spark):
     sizes = {s: sum(r.split == s for r in got) for s in ("train", "validation", "test")}
     assert abs(sizes["validation"] - 100) <= 10 and abs(sizes["test"] - 100) <= 10
     assert group_split.post_splits(posts.filter("false"), targets).count() == 0
-    assert {(r.first_id, r.id) for r in group_split.account_members(posts.filter("id in (1, 2, 300, 301)")).collect()} == {(1, 2)}
+    assert {(r.first_id, r.id) for r in group_split.account_members(posts.filter("id in (1, 2, 300, 301)"), targets).collect()} == {(1, 2)}
+
+
+def test_large_accounts_are_in_the_flow():
+    """Few large components of all sizes: the splits come as near as whole ones allow."""
+    bundles = [(k, "ab"[k % 2], 1, n) for k, n in enumerate((400, 220, 130, 90, 70, 50, 30, 10))] + [(8, "a", 40, 80)]
+    plan = group_split.quotas(bundles, [0.8, 0.1, 0.1])
+    assert [sum(p) for p in plan] == [b[2] for b in bundles]
+    reached = [sum(p[s] * b[3] // b[2] for p, b in zip(plan, bundles)) for s in range(3)]
+    assert sum(reached) == 1080 and abs(reached[0] - 864) <= 40 and min(reached[1:]) >= 60
+    assert group_split.quotas([(0, "a", 1, 5)], [0.0, 1.0]) == [[0, 1]]
+
+
+def test_records_joined_over_several_keys(spark):
+    rows = spark.createDataFrame([(1, "a", "x"), (2, "a", None), (3, None, "x"), (4, "b", "y"), (5, None, None), (6, None, "y"), (7, "x", None)], "id bigint, author string, entity string")
+    found = {r.id: r.key for r in group_split.joined_keys(rows, "id", ["author", "entity"]).collect()}
+    assert found[1] == found[2] == found[3] and found[4] == found[6] != found[1] and found[5] is None and found[7] not in (found[1], found[4], None)
 
 
 def test_truncated(spark):
@@ -225,12 +338,19 @@ def test_affected_fields(spark):
     assert [(r.n_texts, r.n_forms, r.first_id) for r in confusables.look_alike_groups(twice).collect()] == [(2, 2, 1)]
 
 
-def test_residue_tables(spark):
+def test_residue_tables(spark, monkeypatch):
     banner = "Please enable JavaScript to view this page."
     rows = [(k, f"{banner}\nA whole text number {k} about trains.", "www.host.example") for k in range(12)] + [(20, "{{title}}", None), (21, None, "a"), (22, " \n", "a"), (23, banner, "b.example"), (24, "Fine.", "b.example"), (24, "Fine.", "b.example")]
     docs = spark.createDataFrame([(*r, 1, 1) for r in rows], "doc_id bigint, text string, domain string, lines int, host int")
     assert {(r.doc_id, r.kind) for r in residue.residues(docs).collect()} == {(20, "placeholder"), (23, "script")}
     assert residue.clean_documents(docs).count() == len(rows) - 2
+    # A host of nothing but error pages, and the way with more recurrent lines than all tasks are given.
+    pages = spark.createDataFrame([(100 + k, "404 Not Found", "dead.example") for k in range(50)], "doc_id bigint, text string, domain string")
+    both = docs.select("doc_id", "text", "domain").unionByName(pages)
+    want = {(20, "placeholder"), (23, "script")} | {(100 + k, "error") for k in range(50)}
+    assert {(r.doc_id, r.kind) for r in residue.residues(both).collect()} == want
+    monkeypatch.setattr(residue, "FEW_LINES", 0)
+    assert {(r.doc_id, r.kind) for r in residue.residues(both).collect()} == want
     assert residue.residues(docs.filter("false")).count() == 0
 
 
@@ -247,6 +367,10 @@ def test_mixing(spark):
     total = sum(r.tokens * r.copies for r in mix)
     for source, share in (("a", 0.5), ("b", 0.3), ("c", 0.2)):
         assert abs(sum(r.tokens * r.copies for r in mix if r.source == source) / total - share) < 0.03
+    more = targets.unionByName(spark.createDataFrame([("none", 0.5, 2)], targets.schema))
+    assert sum(r.tokens * r.copies for r in mixing.mixed(docs, more).collect()) == pytest.approx(total, rel=0.02)
+    report = {r.source: r for r in mixing.reached_shares(docs, more).collect()}
+    assert report["none"].reached_share == 0 and all(abs(report[s].reached_share - share) < 0.02 for s, share in (("a", 0.5), ("b", 0.3), ("c", 0.2)))
     assert mixing.mixed(docs.filter("false"), targets).count() == 0
     assert mixing.mixed(docs, targets.filter("false")).count() == 0
 
