@@ -118,6 +118,7 @@ def event_key(ids: Column) -> Column:
 
 def normalize_title(title: Column) -> Column:
     """Lower case without a Show/Ask/Tell HN prefix, notes in brackets and punctuation."""
+    # The prefix and the notes.
     text = F.regexp_replace(F.lower(F.coalesce(title, F.lit(""))), r"(?U)^\s*(show|ask|tell)\s+hn[:\-\s]+", "")
     text = F.regexp_replace(text, r"(?U)[\[(]\s*(pdf|video|2\d{3}|19\d{2}|slides?|gist)\s*[\])]", " ")
     return collapse(F.regexp_replace(text, r"(?U)[^\w\s]", " "))
@@ -182,3 +183,48 @@ def cjk_bigrams(text: Column) -> Column:
     """The distinct pairs of neighbouring Chinese characters."""
     runs = F.regexp_extract_all(F.coalesce(text, F.lit("")), F.lit(rf"{_CJK}{{2,}}"), F.lit(0))
     return F.array_distinct(F.flatten(F.transform(runs, lambda r: F.transform(F.sequence(F.lit(1), F.length(r) - 1), lambda k: F.substring(r, k, F.lit(2))))))
+
+
+# Traditional characters and the simplified ones they become; of characters with several, the most frequent.
+TRADITIONAL = "這個們時軟網務實習邊龍應經見覺單題類樣優關處還發區圖說話語讓對沒來國師業東車書長門問間風馬魚愛萬與專寫號體術認識記設計編輯視頻導過開會學機為動電腦點頭條現產後無當種數據庫練慣難寶護價轉輸圍繼續變論證評測試調節約綠紅紙線組織結構級給絡統總顯項預領額飛飯館驗骯麗麼黃齊齒聽聲職聯聖膽腸臉興舉舊華葉藝蘇蘭蘿虛蟲衛衝補裝製複觀規覽觸訂訊討訓託許訴詞詩該詳誌誤誰課誼談請諸諾謀謝謠譯議讀"
+TO_SIMPLIFIED = "这个们时软网务实习边龙应经见觉单题类样优关处还发区图说话语让对没来国师业东车书长门问间风马鱼爱万与专写号体术认识记设计编辑视频导过开会学机为动电脑点头条现产后无当种数据库练惯难宝护价转输围继续变论证评测试调节约绿红纸线组织结构级给络统总显项预领额飞饭馆验肮丽么黄齐齿听声职联圣胆肠脸兴举旧华叶艺苏兰萝虚虫卫冲补装制复观规览触订讯讨训托许诉词诗该详志误谁课谊谈请诸诺谋谢谣译议读"
+
+
+def to_simplified(text: Column, traditional: str = TRADITIONAL, simplified: str = TO_SIMPLIFIED) -> Column:
+    """Traditional characters as simplified ones, character by character. The tables are parameters: a full one may be given."""
+    return F.translate(text, traditional, simplified)
+
+
+def to_traditional(text: Column, traditional: str = TRADITIONAL, simplified: str = TO_SIMPLIFIED) -> Column:
+    """The other way round; a simplified character that stands for several becomes the first of them in the table."""
+    return F.translate(text, simplified, traditional)
+
+
+def first_filled(*texts: Column) -> Column:
+    """The first text that is neither null nor blank, trimmed; null if there is none."""
+    return F.coalesce(*[F.nullif(F.trim(t.cast("string")), F.lit("")) for t in texts])
+
+
+# The keys of an annotator for each kind of label.
+LABEL_KEYS = {
+    "sentiment": {"1": "negative", "2": "neutral", "3": "positive"},
+    "quality": {"h": "high", "m": "mid", "l": "low"},
+    "theme": {"m": "模型動態", "t": "新工具", "u": "使用方法", "r": "風險限制", "e": "倫理法規", "o": "其他"},
+}
+
+
+def label_of_key(key: Column, kind: str) -> Column:
+    """The label of a pressed key, whatever its case; null for another key."""
+    pairs = [F.lit(x) for pair in LABEL_KEYS[kind].items() for x in pair]
+    return F.element_at(F.create_map(*pairs), F.lower(F.trim(key)))
+
+
+def percent(part: Column, whole: Column) -> Column:
+    """A share as text with one decimal; 0.0% of nothing."""
+    return F.concat(F.format_number(F.coalesce(100 * part / F.nullif(whole, F.lit(0)), F.lit(0.0)), 1), F.lit("%"))
+
+
+def bar(share: Column, width: int = 20) -> Column:
+    """A share as a bar of blocks, filled up with dots."""
+    n = F.bround(share * width).cast("int")
+    return F.concat(F.repeat(F.lit("█"), n), F.repeat(F.lit("·"), F.lit(width) - n))

@@ -82,11 +82,14 @@ def simhash_edges(posts: DataFrame, max_hamming: int = MAX_HAMMING, similarity:
     classes = written(title_classes(posts), "simhash-classes")
     reps = classes.filter("id = rep").select("id", "tokens", simhash64("tokens").alias("h"))
     bands = F.array(*[F.struct(F.lit(k).alias("band"), F.shiftrightunsigned("h", 16 * k).bitwiseAND(F.lit(0xFFFF)).alias("value")) for k in range(4)])
-    keyed = reps.select("id", "h", "tokens", F.explode(bands).alias("key")).select("id", "h", "tokens", "key.band", "key.value")
-    left, right = keyed.select(F.col("id").alias("a"), F.col("h").alias("ha"), F.col("tokens").alias("x"), "band", "value"), keyed.select(F.col("id").alias("b"), F.col("h").alias("hb"), F.col("tokens").alias("y"), "band", "value")
+    keyed = reps.select("id", "h", F.explode(bands).alias("key")).select("id", "h", "key.band", "key.value")
+    left, right = keyed.select(F.col("id").alias("a"), F.col("h").alias("ha"), "band", "value"), keyed.select(F.col("id").alias("b"), F.col("h").alias("hb"), "band", "value")
+    # Hashes meet in their bands; words are compared for the few pairs that are left.
+    pairs = left.join(right, ["band", "value"]).filter("a < b").filter(hamming(F.col("ha"), F.col("hb")) <= max_hamming).select("a", "b").distinct()
+    words = classes.filter("id = rep").select("id", "tokens")
     shared = F.size(F.array_intersect("x", "y"))
-    near = left.join(right, ["band", "value"]).filter("a < b").filter(hamming(F.col("ha"), F.col("hb")) <= max_hamming).filter(shared >= similarity * (F.size("x") + F.size("y") - shared))
-    return near.select("a", "b").distinct().unionByName(classes.filter("id <> rep").select(F.col("rep").alias("a"), F.col("id").alias("b")))
+    near = pairs.join(words.select(F.col("id").alias("a"), F.col("tokens").alias("x")), "a").join(words.select(F.col("id").alias("b"), F.col("tokens").alias("y")), "b").filter(shared >= similarity * (F.size("x") + F.size("y") - shared))
+    return near.select("a", "b").unionByName(classes.filter("id <> rep").select(F.col("rep").alias("a"), F.col("id").alias("b")))
 
 
 def clusters(posts: DataFrame) -> DataFrame:

@@ -137,12 +137,57 @@ def bootstrap_means(rows: DataFrame, value: str, rounds: int, seed: str = "0") -
     rows: i (0-based, consecutive) and value. Draw j of round r is the row at the md5 of seed, round and draw, modulo the size:
     any engine can repeat it.
     """
-    total = rows.agg(F.count("*").alias("total"))
-    spark = rows.sparkSession
-    draws = spark.range(rounds).select(F.col("id").alias("round")).crossJoin(F.broadcast(total)).select("round", "total", F.explode(F.sequence(F.lit(0).cast("bigint"), F.col("total") - 1)).alias("j"))
+    return bootstrap(rows, F.avg(value), rounds, seed)
+
+
+def resampled(rows: DataFrame, rounds: int, seed: str = "0") -> DataFrame:
+    """rows (i, ...) drawn for each round as in bootstrap_means, with the round."""
+    total = rows.count()
+    draws = rows.sparkSession.range(rounds * total).select(F.floor(F.col("id") / max(total, 1)).alias("round"), F.pmod("id", F.lit(max(total, 1))).alias("j"))
     digest = F.md5(F.concat_ws(":", F.lit(seed), F.col("round").cast("string"), F.col("j").cast("string")))
-    picked = draws.select("round", F.pmod(F.conv(F.substring(digest, 1, 12), 16, 10).cast("bigint"), F.col("total")).alias("i"))
-    return picked.join(rows, "i").groupBy("round").agg(F.avg(value).alias("statistic"))
+    picked = draws.select("round", F.pmod(F.conv(F.substring(digest, 1, 12), 16, 10).cast("bigint"), F.lit(max(total, 1))).alias("i"))
+    return picked.join(rows, "i")
+
+
+def bootstrap(rows: DataFrame, statistic: Column, rounds: int, seed: str = "0") -> DataFrame:
+    """(round, statistic): any aggregate over the resamples of bootstrap_means."""
+    return resampled(rows, rounds, seed).groupBy("round").agg(statistic.alias("statistic"))
+
+
+def paired_f1_delta(rows: DataFrame, truth: str, a: str, b: str, rounds: int, seed: str = "0") -> DataFrame:
+    """(round, statistic): macro F1 of a less that of b, over the same resample of rows (i, truth, a, b) for both; labels are those that occur in it on any side."""
+    cells = resampled(rows, rounds, seed).groupBy("round", F.col(truth).alias("t"), F.col(a).alias("a"), F.col(b).alias("b")).agg(F.count("*").alias("n"))
+    sides = F.array(
+        F.struct(F.col("t").alias("label"), F.col("n").alias("support"), F.lit(0).alias("pa"), F.lit(0).alias("pb"), F.when(F.col("t") == F.col("a"), F.col("n")).otherwise(0).alias("ta"), F.when(F.col("t") == F.col("b"), F.col("n")).otherwise(0).alias("tb")),
+        F.struct(F.col("a").alias("label"), F.lit(0).alias("support"), F.col("n").alias("pa"), F.lit(0).alias("pb"), F.lit(0).alias("ta"), F.lit(0).alias("tb")),
+        F.struct(F.col("b").alias("label"), F.lit(0).alias("support"), F.lit(0).alias("pa"), F.col("n").alias("pb"), F.lit(0).alias("ta"), F.lit(0).alias("tb")),
+    )
+    by = cells.select("round", F.explode(sides).alias("s")).groupBy("round", "s.label").agg(*[F.sum(f"s.{c}").alias(c) for c in ("support", "pa", "pb", "ta", "tb")])
+    # F1 is twice the hits over support and predictions together; 0 for a label without either.
+    f1a, f1b = (F.coalesce(2 * F.col(t) / F.nullif(F.col("support") + F.col(p), F.lit(0)), F.lit(0.0)) for t, p in (("ta", "pa"), ("tb", "pb")))
+    return by.groupBy("round").agg((F.avg(f1a) - F.avg(f1b)).alias("statistic"))
+
+
+def decided(intervals: DataFrame, a: str, b: str) -> DataFrame:
+    """intervals (low, high, ...) with decision: who wins, or nobody where the interval of the difference holds 0."""
+    return intervals.withColumn("decision", F.when((F.col("low") <= 0) & (F.col("high") >= 0), "no winner").when(F.col("low") > 0, F.concat(F.lit(a), F.lit(" wins"))).otherwise(F.concat(F.lit(b), F.lit(" wins"))))
+
+
+def confidence_of(pred: str, probabilities: str) -> Column:
+    """The probability of the predicted label in a map, else the largest; 1 without any."""
+    own = F.element_at(probabilities, F.col(pred))
+    return F.coalesce(own, F.array_max(F.map_values(probabilities)), F.lit(1.0))
+
+
+def calibration_bundle(rows: DataFrame, truth: str, confidence: str, correct: str, key: str, probabilities: dict[str, str]) -> DataFrame:
+    """(ece, ece_adaptive, brier, nll, aurc, proper), one row. Brier score and likelihood only where every row's probabilities add up to 0.9 to 1.1."""
+    total = sum((F.coalesce(p, F.lit(0.0)) for p in probabilities.values()), F.lit(0.0))
+    proper = rows.agg(F.coalesce(F.every(total.between(0.9, 1.1)), F.lit(True)).alias("proper")).first()[0]
+    flat = calibration_error(ece(rows, confidence, correct))
+    even = calibration_error(ece_adaptive(rows, confidence, correct, key, 10)).withColumnRenamed("ece", "ece_adaptive")
+    both = brier(rows, truth, probabilities) if proper else rows.sparkSession.createDataFrame([(None, None)], "brier double, nll double")
+    curve = risk_coverage(rows, confidence, correct, key).agg(F.avg("risk").alias("aurc"))
+    return flat.join(F.broadcast(even)).join(F.broadcast(both)).join(F.broadcast(curve)).withColumn("proper", F.lit(proper))
 
 
 def interval(statistics: DataFrame, level: float = 0.95) -> DataFrame:
@@ -169,8 +214,14 @@ def stratified_sample(rows: DataFrame, stratum: str, key: str, n: int, seed: str
 
 def stratified_split(rows: DataFrame, label: str, key: str, share: float, seed: str = "0") -> DataFrame:
     """(key, label, part): round(n * share) rows of each label to validation, in hash order; a label's only row trains."""
-    hashed = rows.withColumn("h", F.md5(F.concat_ws(":", F.lit(seed), F.col(key).cast("string"))))
-    of_label = W.partitionBy(label)
-    ranked = hashed.withColumn("place", F.row_number().over(of_label.orderBy("h"))).withColumn("n", F.count("*").over(of_label))
-    held = (F.col("n") > 1) & (F.col("place") <= F.bround(F.col("n") * F.lit(share)))
-    return ranked.select(key, label, F.when(held, "validation").otherwise("train").alias("part"))
+    hashed = rows.withColumn("h", F.md5(F.concat_ws(":", F.lit(seed), F.col(key).cast("string")))).withColumn("_b", F.substring("h", 1, 4))
+    # Counts by the first four digits tell in which bucket a label's cutoff lies; only that one is ranked. No label's rows meet in a task.
+    of_label = W.partitionBy("_l")
+    counts = hashed.groupBy(F.col(label).alias("_l"), F.col("_b").alias("_cut")).agg(F.count("*").alias("c"))
+    upto = counts.withColumn("upto", F.sum("c").over(of_label.orderBy("_cut"))).withColumn("n", F.sum("c").over(of_label)).withColumn("need", F.when(F.col("n") > 1, F.bround(F.col("n") * F.lit(share))).otherwise(0))
+    edge = upto.filter((F.col("upto") >= F.col("need")) & (F.col("upto") - F.col("c") < F.col("need"))).select("_l", "_cut", (F.col("need") - F.col("upto") + F.col("c")).alias("left"))
+    joined = hashed.join(F.broadcast(edge), F.col(label).eqNullSafe(F.col("_l")), "left")
+    at = joined.filter("_b = _cut").withColumn("place", F.row_number().over(W.partitionBy("_l").orderBy("h", key)))
+    held = F.coalesce(F.col("_b") < F.col("_cut"), F.lit(False))
+    rest = joined.filter("_cut is null or _b <> _cut").select(key, label, F.when(held, "validation").otherwise("train").alias("part"))
+    return rest.unionByName(at.select(key, label, F.when(F.col("place") <= F.col("left"), "validation").otherwise("train").alias("part")))

@@ -53,6 +53,21 @@ def theme_name(label: str = "label") -> Column:
     return F.when(old.isin(*THEMES), old).otherwise(THEMES[-1])
 
 
+def loose_gate(score: str = "quality_score") -> Column:
+    """The gate of mails and labelling queues: unchecked or good enough, duplicates too."""
+    return F.col(score).isNull() | (F.col(score) >= QUALITY_MIN)
+
+
+def newest(rows: DataFrame, column: str) -> int | None:
+    """The largest time of a column in microseconds, read once, so that windows behind it are literals that reach the scan; null without any."""
+    return rows.agg(F.unix_micros(F.max(column))).first()[0]
+
+
+def moment(micros: int | None, days: float = 0) -> Column:
+    """The literal time so many days before; null if there is no time."""
+    return F.timestamp_micros(F.lit(None if micros is None else micros - int(days * 86_400_000_000)).cast("bigint"))
+
+
 def day(column: str) -> Column:
     return F.to_date(F.col(column))
 

@@ -142,8 +142,8 @@ SELECT w.source, CAST(floor((epoch_us(as_of) - epoch_us(last)) / 60000000) AS BI
 def volume_threshold(spark: SparkSession, d: str, hours: int = 24) -> DataFrame:
     """Posts of each watched source within the last hours against the least it should bring."""
     least = spark.createDataFrame(list(VOLUME_MIN.items()), "source string, least int")
-    as_of = base.posts(spark, d).agg(F.max("fetched_at").alias("as_of"))
-    recent = base.posts(spark, d).select("source", "fetched_at").crossJoin(F.broadcast(as_of)).filter(F.col("fetched_at") > F.col("as_of") - F.expr(f"INTERVAL {int(hours)} HOURS"))
+    as_of = base.newest(base.posts(spark, d), "fetched_at")
+    recent = base.posts(spark, d).filter(F.col("fetched_at") > base.moment(as_of, hours / 24))
     counts = recent.groupBy("source").agg(F.count("*").alias("n"))
     n = F.coalesce("n", F.lit(0))
     return F.broadcast(least).join(counts, "source", "left").select("source", n.alias("n"), (n >= F.col("least")).alias("enough"))
@@ -158,12 +158,11 @@ SELECT w.source, coalesce(n, 0) AS n, coalesce(n, 0) >= least AS enough FROM w L
 def metrics_snapshot(spark: SparkSession, d: str) -> DataFrame:
     """(metric, label, value): the gauges of an exposition endpoint."""
     p = base.posts(spark, d)
-    as_of = p.agg(F.max("fetched_at").alias("as_of"))
     parts = [
         p.agg(F.lit("posts_total").alias("metric"), F.lit("").alias("label"), F.count("*").alias("value")),
         p.groupBy("source").agg(F.count("*").alias("value")).select(F.lit("posts_by_source").alias("metric"), F.col("source").alias("label"), "value"),
         p.groupBy(buckets_metrics().alias("label")).agg(F.count("*").alias("value")).select(F.lit("posts_by_quality").alias("metric"), "label", "value"),
-        p.crossJoin(F.broadcast(as_of)).filter(F.expr("fetched_at > as_of - INTERVAL 24 HOURS")).agg(F.lit("posts_24h").alias("metric"), F.lit("").alias("label"), F.count("*").alias("value")),
+        p.filter(F.col("fetched_at") > base.moment(base.newest(p, "fetched_at"), 1)).agg(F.lit("posts_24h").alias("metric"), F.lit("").alias("label"), F.count("*").alias("value")),
         base.sentiments(spark, d).groupBy("label").agg(F.count("*").alias("value")).select(F.lit("sentiments").alias("metric"), "label", "value"),
         base.themes(spark, d).groupBy("label").agg(F.count("*").alias("value")).select(F.lit("themes").alias("metric"), "label", "value"),
         base.bridge(p.select("id", "models"), spark, d).groupBy("slug").agg(F.count("*").alias("value")).select(F.lit("posts_by_model").alias("metric"), F.col("slug").alias("label"), "value"),

@@ -82,9 +82,9 @@ def flips(spark: SparkSession, d: str) -> DataFrame:
     """Each model's mood in the last 14 days against the 14 before, anchored at the newest scored post."""
     scored = base.gated(spark, d).select("id", "posted_at", "models").join(base.sentiments(spark, d).select(F.col("post_id").alias("id"), "label", "score", "p_positive", "p_negative"), "id")
     rows = base.bridge(scored, spark, d)
-    newest = rows.agg(F.max("posted_at").alias("newest"))
-    dated = rows.crossJoin(F.broadcast(newest)).filter(F.expr("posted_at >= newest - INTERVAL 28 DAYS"))
-    period = F.when(F.expr("posted_at >= newest - INTERVAL 14 DAYS"), "curr").otherwise("prev")
+    newest = base.newest(rows, "posted_at")
+    dated = rows.filter(F.col("posted_at") >= base.moment(newest, 28))
+    period = F.when(F.col("posted_at") >= base.moment(newest, 14), "curr").otherwise("prev")
     by = dated.groupBy("slug", period.alias("period")).agg(F.count("*").alias("n"), F.count_if(F.col("label") == "negative").alias("bad"), mood.index().alias("index"))
     wide = by.groupBy("slug").agg(*[F.max(F.when(F.col("period") == p, F.col(c))).alias(f"{p}_{c}") for p in ("prev", "curr") for c in ("n", "bad", "index")])
     filled = wide.select("slug", *[F.coalesce(c, F.lit(0)).alias(c) for c in wide.columns if c != "slug"])
@@ -115,6 +115,13 @@ def detected_events(spark: SparkSession, d: str) -> DataFrame:
     return spike.unionByName(launch).unionByName(flip)
 
 
+DETECTED = f"""
+WITH s AS ({DISCUSSION_SPIKES}), l AS ({LAUNCHES}), f AS ({FLIPS})
+SELECT dedup_key, 'discussion_spike' AS event_type, slug AS model, severity AS score, day AS occurred_on FROM s UNION ALL SELECT dedup_key, 'launch', slug, CAST(n AS DOUBLE), day FROM l
+UNION ALL SELECT 'sentiment_flip:' || slug || ':' || CAST(day AS VARCHAR), 'sentiment_flip', slug, CAST(abs(curr_index - prev_index) AS DOUBLE), day FROM f CROSS JOIN (SELECT CAST(max(posted_at) AS DATE) - 14 AS day FROM posts) WHERE direction IS NOT NULL
+"""
+
+
 def reconciled(stored: DataFrame, found: DataFrame) -> DataFrame:
     """The stored events after a run: those found replace their key, stored ones of the detected kinds that weren't found go, others stay. An empty run deletes nothing."""
     some = found.limit(1).select(F.lit(True).alias("any"))
@@ -140,6 +147,6 @@ QUERIES = {
     "discussion_spikes": (discussion_spikes, DISCUSSION_SPIKES),
     "launches": (launches, LAUNCHES),
     "sentiment_flips": (flips, FLIPS),
-    "detected_events": (detected_events, None),
+    "detected_events": (detected_events, DETECTED),
     "recent_releases": (recent_releases, RECENT_RELEASES),
 }

@@ -26,8 +26,7 @@ def upsert_merge(spark: SparkSession, d: str) -> DataFrame:
     """The posts of all batches but the last ten days', after the upsert of those days: columns that don't change keep their first values."""
     rows = base.posts(spark, d).select(*_COLUMNS)
     good, _ = U.valid(rows, U.REQUIRED)
-    newest = rows.agg(F.max("fetched_at").alias("newest"))
-    dated = good.crossJoin(F.broadcast(newest)).withColumn("_late", F.expr("fetched_at >= newest - INTERVAL 10 DAYS")).drop("newest")
+    dated = good.withColumn("_late", F.col("fetched_at") >= base.moment(base.newest(rows, "fetched_at"), 10))
     stored = U.last_wins(dated.filter("not _late").drop("_late"), U.KEY, F.struct(*_ORDER))
     batch = U.last_wins(dated.filter("_late").drop("_late"), U.KEY, F.struct(*_ORDER))
     return U.merged(stored, batch, U.KEY, U.UPDATED)

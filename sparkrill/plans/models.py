@@ -11,8 +11,8 @@ from sparkrill.plans import base
 from sparkrill.tables import table
 
 
-def _as_of(spark: SparkSession, d: str) -> DataFrame:
-    return base.posts(spark, d).agg(F.max("fetched_at").alias("as_of"))
+def _as_of(spark: SparkSession, d: str) -> int | None:
+    return base.newest(base.posts(spark, d), "fetched_at")
 
 
 def _scored(spark: SparkSession, d: str, gated: bool = True) -> DataFrame:
@@ -39,8 +39,8 @@ SELECT *, CAST(round_even(200 * least(n_positive, n_negative) / n, 0) AS INTEGER
 
 def dashboard(spark: SparkSession, d: str) -> DataFrame:
     """Every model with its posts, recent posts, newest post, newest release and index; models without any keep their row."""
-    posts = base.bridge(base.gated(spark, d).select("id", "posted_at", "models"), spark, d).crossJoin(F.broadcast(_as_of(spark, d)))
-    counts = posts.groupBy("model_id").agg(F.count("*").alias("n_posts"), F.count_if(F.expr("posted_at >= as_of - INTERVAL 7 DAYS")).alias("n_recent"), F.max("posted_at").alias("last_post"))
+    posts = base.bridge(base.gated(spark, d).select("id", "posted_at", "models"), spark, d)
+    counts = posts.groupBy("model_id").agg(F.count("*").alias("n_posts"), F.count_if(F.col("posted_at") >= base.moment(_as_of(spark, d), 7)).alias("n_recent"), F.max("posted_at").alias("last_post"))
     releases = table(spark, d, "release_events").groupBy("model_id").agg(F.max("published_at").alias("last_release"))
     moods = _scored(spark, d).groupBy("model_id").agg(mood.index().alias("index"))
     dim = base.models(spark, d).select(F.col("id").alias("model_id"), "slug", "name", "is_active")
@@ -61,7 +61,7 @@ def model_trend(spark: SparkSession, d: str, days: int = 30) -> DataFrame:
     """Posts and index of each model on each of the days + 1 days to the last fetch; days without posts count 0. Without the quality gate."""
     if not 7 <= days <= 90:
         raise ValueError("days is 7 to 90")
-    spine = _as_of(spark, d).select(F.explode(F.expr(f"sequence(date_sub(to_date(as_of), {int(days)}), to_date(as_of), INTERVAL 1 DAY)")).alias("day"))
+    spine = spark.range(1).select(F.to_date(base.moment(_as_of(spark, d))).alias("last")).filter("last is not null").select(F.explode(F.expr(f"sequence(date_sub(last, {int(days)}), last, INTERVAL 1 DAY)")).alias("day"))
     grid = base.models(spark, d).select("slug").crossJoin(F.broadcast(spine))
     counts = base.bridge(base.posts(spark, d).select("id", "posted_at", "models"), spark, d).groupBy("slug", F.to_date("posted_at").alias("day")).agg(F.count("*").alias("n"))
     moods = _scored(spark, d, False).groupBy("slug", F.to_date("posted_at").alias("day")).agg(mood.index().alias("index"))
@@ -112,7 +112,7 @@ def feed(spark: SparkSession, d: str, days: int = 7, per_theme: int = 6, model:
     """The newest posts of each theme within the last days, one plan for all themes, with what the filters leave."""
     if not 1 <= days <= 90 or not 1 <= per_theme <= 50:
         raise ValueError("days is 1 to 90, per_theme 1 to 50")
-    rows = base.gated(spark, d).crossJoin(F.broadcast(_as_of(spark, d))).filter(F.expr(f"posted_at >= as_of - INTERVAL {int(days)} DAYS"))
+    rows = base.gated(spark, d).filter(F.col("posted_at") >= base.moment(_as_of(spark, d), days))
     if source:
         rows = rows.filter(F.col("source") == source)
     if model:
@@ -140,7 +140,7 @@ FROM (SELECT *, row_number() OVER (PARTITION BY theme ORDER BY posted_at DESC, i
 def feed_summary(spark: SparkSession, d: str, days: int = 7) -> DataFrame:
     """Posts of each theme within the last days; themes without any count 0, old names count for their new one."""
     names = spark.createDataFrame([(k, t) for k, t in enumerate(base.THEMES)], "place int, theme string")
-    rows = base.gated(spark, d).select("id", "posted_at").crossJoin(F.broadcast(_as_of(spark, d))).filter(F.expr(f"posted_at >= as_of - INTERVAL {int(days)} DAYS"))
+    rows = base.gated(spark, d).filter(F.col("posted_at") >= base.moment(_as_of(spark, d), days)).select("id", "posted_at")
     counts = rows.join(base.themes(spark, d).select(F.col("post_id").alias("id"), base.theme_name().alias("theme")), "id").groupBy("theme").agg(F.count("*").alias("n"))
     return F.broadcast(names).join(counts, "theme", "left").select("place", "theme", F.coalesce("n", F.lit(0)).alias("n"))
 

@@ -2,7 +2,9 @@
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame, SparkSession
+from collections.abc import Callable
+
+from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from sparkrill.functions import text as T
@@ -10,7 +12,7 @@ from sparkrill.operators import duplicates as dup
 from sparkrill.operators.quality import scored
 from sparkrill.operators.trending import trending
 from sparkrill.plans import base
-from sparkrill.storage import written
+from sparkrill.storage import spread, written
 from sparkrill.tables import table
 
 
@@ -73,7 +75,7 @@ def url_groups(spark: SparkSession, d: str) -> DataFrame:
 
 def dq_flags(spark: SparkSession, d: str) -> DataFrame:
     """Every post with its score and flags by the rules."""
-    return scored(base.posts(spark, d).select("id", "source", "title", "content", "author", "models")).select("id", "quality_score", "quality_flags")
+    return scored(spread(base.posts(spark, d).select("id", "source", "title", "content", "author", "models"))).select("id", "quality_score", "quality_flags")
 
 
 def title_pairs(spark: SparkSession, d: str) -> DataFrame:
@@ -112,16 +114,34 @@ def duplicate_flags(spark: SparkSession, d: str) -> DataFrame:
     return dup.reconciled_flags(base.posts(spark, d), near_dup_clusters(spark, d))
 
 
+DUPLICATE_FLAGS = f"""
+WITH picked AS ({NEAR_DUP_CLUSTERS}) SELECT p.id, list_sort(list_distinct(list_concat(list_filter(coalesce(quality_flags, []), lambda f: f <> 'DUPLICATE' AND NOT starts_with(f, 'CANONICAL:')), CASE WHEN c.canonical_id <> p.id THEN ['DUPLICATE', 'CANONICAL:' || c.canonical_id] ELSE [] END))) AS quality_flags FROM posts p LEFT JOIN picked c ON c.id = p.id
+"""
+
+
 def simhash_pairs(spark: SparkSession, d: str) -> DataFrame:
     return dup.simhash_edges(base.posts(spark, d))
 
 
 def trending_terms(spark: SparkSession, d: str) -> DataFrame:
     """The Latin terms of the last 7 days that stand out against the last 30."""
-    as_of = base.posts(spark, d).agg(F.max("fetched_at").alias("as_of"))
-    rows = base.gated(spark, d).select("posted_at", F.concat(F.coalesce("title", F.lit("")), F.lit(". "), F.coalesce("content", F.lit(""))).alias("text")).crossJoin(F.broadcast(as_of)).filter(F.expr("posted_at >= as_of - INTERVAL 30 DAYS"))
-    terms = rows.select(F.expr("posted_at >= as_of - INTERVAL 7 DAYS").alias("recent"), F.explode(T.latin_terms(F.col("text"))).alias("term"))
-    return trending(terms)
+    return trending(_terms(spark, d, T.latin_terms))
+
+
+def _terms(spark: SparkSession, d: str, tokenizer: Callable[[Column], Column]) -> DataFrame:
+    """(recent, term): the distinct terms of each post of the last 30 days by a tokenizer, recent where the post is of the last 7."""
+    as_of = base.newest(base.posts(spark, d), "fetched_at")
+    rows = base.gated(spark, d).filter(F.col("posted_at") >= base.moment(as_of, 30))
+    text = F.concat(F.coalesce("title", F.lit("")), F.lit(". "), F.coalesce("content", F.lit("")))
+    return rows.select((F.col("posted_at") >= base.moment(as_of, 7)).alias("recent"), F.explode(tokenizer(text)).alias("term"))
+
+
+def trending_terms_zh(spark: SparkSession, d: str) -> DataFrame:
+    """The same for Chinese: pairs of neighbouring characters, as there is no word segmentation here."""
+    return trending(_terms(spark, d, T.cjk_bigrams))
+
+
+_PAIRS_OF = "list_distinct(flatten(list_transform(regexp_extract_all({0}, '[\\x{{4e00}}-\\x{{9fff}}]{{2,}}'), lambda r: list_transform(range(1, length(r)), lambda k: substring(r, k, 2)))))"
 
 
 _STOP = ", ".join(f"'{w}'" for w in sorted(set(T.STOPWORDS)))
@@ -134,6 +154,9 @@ SELECT term, round(z, 3) AS z, rc AS recent_count, row_number() OVER (ORDER BY r
 """
 
 
+TRENDING_ZH = TRENDING_TERMS.replace("list_distinct(regexp_extract_all(lower(" + _TEXT + "), '[a-z][a-z0-9]+'))", _PAIRS_OF.format(f"({_TEXT})")).replace(f"WHERE regexp_matches(term, '[a-z][0-9]*[a-z]') AND term NOT IN ({_STOP})", "")
+
+
 def sentence_counts(spark: SparkSession, d: str) -> DataFrame:
     """Sentences of every document: how many, and the longest."""
     docs = table(spark, d, "documents").filter("text is not null")
@@ -169,8 +192,9 @@ QUERIES = {
     "title_jaccard_pairs": (title_pairs, TITLE_PAIRS),
     "simhash_title_pairs": (simhash_pairs, None),
     "near_dup_clusters": (near_dup_clusters, NEAR_DUP_CLUSTERS),
-    "duplicate_flags": (duplicate_flags, None),
+    "duplicate_flags": (duplicate_flags, DUPLICATE_FLAGS),
     "trending_terms": (trending_terms, TRENDING_TERMS),
+    "trending_terms_zh": (trending_terms_zh, TRENDING_ZH),
     "sentence_split": (sentence_counts, SENTENCE_COUNTS),
     "citations": (citations, CITATIONS),
 }

@@ -10,6 +10,7 @@ import uuid
 from pyspark.sql import DataFrame, SparkSession
 
 _LOCAL: list[str] = []
+_MADE: list[str] = []
 
 
 def shared_dir(spark: SparkSession) -> str:
@@ -26,7 +27,21 @@ def shared_dir(spark: SparkSession) -> str:
 
 
 def new_folder(spark: SparkSession, name: str) -> str:
-    return f"{shared_dir(spark)}/{name}-{uuid.uuid4().hex[:12]}"
+    """A folder for this session's own tables: it is deleted by drop_written, at the latest when the driver ends."""
+    path = f"{shared_dir(spark)}/{name}-{uuid.uuid4().hex[:12]}"
+    if not _MADE:
+        atexit.register(drop_written, spark)
+    _MADE.append(path)
+    return path
+
+
+def drop_written(spark: SparkSession) -> None:
+    """Deletes all folders made so far: results must have been saved or collected."""
+    while _MADE:
+        try:
+            drop_folder(spark, _MADE.pop())
+        except Exception:  # noqa: BLE001 - the session is gone, or the folder is someone else's now
+            continue
 
 
 def written(df: DataFrame, name: str) -> DataFrame:
@@ -36,6 +51,12 @@ def written(df: DataFrame, name: str) -> DataFrame:
     return df.sparkSession.read.schema(df.schema).parquet(path)
 
 
+def spread(df: DataFrame) -> DataFrame:
+    """df over all cores, where its few large row groups would leave most of them idle in a step that costs much for each row. A larger input is left as it is."""
+    cores = df.sparkSession.sparkContext.defaultParallelism
+    return df.repartition(cores) if df.rdd.getNumPartitions() < cores else df
+
+
 def _filesystem(spark: SparkSession, path: str) -> tuple[object, object]:
     target = spark.sparkContext._jvm.org.apache.hadoop.fs.Path(path)
     return target.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration()), target

@@ -2,14 +2,15 @@
 
 from __future__ import annotations
 
-from collections.abc import Iterator
+from collections.abc import Callable, Iterator
 
 import pandas as pd
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
+from pyspark.sql.streaming.query import StreamingQuery
 
-from sparkrill.operators.upsert import Snapshots, last_wins, merged, valid
-from sparkrill.storage import new_folder
+from sparkrill.operators.upsert import Snapshots
+from sparkrill.storage import names_in, new_folder
 
 
 def file_stream(spark: SparkSession, folder: str, name: str, files_per_batch: int = 1) -> DataFrame:
@@ -31,21 +32,19 @@ def run_to_end(stream: DataFrame, name: str, mode: str = "complete") -> DataFram
 
     query = stream.writeStream.outputMode(mode).foreachBatch(write).option("checkpointLocation", new_folder(spark, f"{name}-state")).trigger(availableNow=True).start()
     query.awaitTermination()
-    last = query.lastProgress
     schema = stream.schema
-    if last is None:
+    # The folders tell which batches there were: the query remembers only its last ones.
+    batches = sorted(int(name[1:]) for name in names_in(spark, out))
+    if not batches:
         return spark.createDataFrame([], schema)
-    batches = [p["batchId"] for p in query.recentProgress]
-    paths = [f"{out}/b{max(batches)}"] if mode == "complete" else [f"{out}/b{k}" for k in sorted(set(batches))]
-    return spark.read.schema(schema).parquet(*paths)
+    return spark.read.schema(schema).parquet(*[f"{out}/b{k}" for k in (batches[-1:] if mode == "complete" else batches)])
 
 
 def upsert_stream(stream: DataFrame, target: Snapshots, key: list[str], updated: list[str], required: list[str], order: str, checkpoint: str) -> None:
     """Upserts a stream of rows micro-batch by micro-batch; at-least-once delivery is made idempotent by the key."""
 
     def write(batch: DataFrame, batch_id: int) -> None:
-        good, _ = valid(batch, required)
-        target.write(merged(target.read(), last_wins(good, key, F.col(order)), key, updated))
+        target.upsert(batch, key, updated, required, F.col(order))
 
     stream.writeStream.foreachBatch(write).option("checkpointLocation", checkpoint).trigger(availableNow=True).start().awaitTermination()
 
@@ -90,3 +89,44 @@ def online_spikes(days: DataFrame, window: int = 14, min_baseline: int = 5, min_
         yield pd.DataFrame(found, columns=["entity", "day", "n", "z"])
 
     return days.groupBy("entity").applyInPandasWithState(step, "entity string, day date, n bigint, z double", "past array<int>, last int", "append", GroupStateTimeout.NoTimeout)
+
+
+def start_once(stream: DataFrame, name: str, write: Callable[[DataFrame, int], None], checkpoint: str) -> StreamingQuery:
+    """Starts a job under a name, unless it still runs: then its running query is given."""
+    for query in stream.sparkSession.streams.active:
+        if query.name == name:
+            return query
+    return stream.writeStream.queryName(name).foreachBatch(write).option("checkpointLocation", checkpoint).trigger(availableNow=True).start()
+
+
+def finished_within(query: StreamingQuery, seconds: int) -> bool:
+    """Waits for a job; one that takes longer is stopped and goes on from its checkpoint when it is started again."""
+    done = query.awaitTermination(seconds)
+    if not done:
+        query.stop()
+    return bool(done)
+
+
+def chained(spark: SparkSession, folder: str, schema: str, steps: list[tuple[str, Callable[[DataFrame], DataFrame]]], timeout: int = 3600) -> list[str]:
+    """Runs jobs that wait for each other's data: each step reads as a stream what the step before wrote since its last run, and writes
+    its own result under its name. Without new data nothing runs. Returns the names of the steps that had data.
+
+    folder/landed holds the first step's Parquet input. Results of a batch that runs again replace that batch's own folder.
+    """
+    ran, source = [], "landed"
+    for name, step in steps:
+        stream = spark.readStream.schema(schema).option("recursiveFileLookup", "true").parquet(f"{folder}/{source}")
+        before = names_in(spark, f"{folder}/{name}")
+
+        def write(batch: DataFrame, batch_id: int, out: str = f"{folder}/{name}", step: Callable[[DataFrame], DataFrame] = step) -> None:
+            step(batch).write.mode("overwrite").parquet(f"{out}/b{batch_id:06d}")
+
+        if not finished_within(start_once(stream, f"{folder}:{name}", write, f"{folder}/state-{name}"), timeout):
+            raise TimeoutError(name)
+        after = names_in(spark, f"{folder}/{name}")
+        if after != before:
+            ran.append(name)
+        if not after:
+            break
+        schema, source = spark.read.option("recursiveFileLookup", "true").parquet(f"{folder}/{name}").schema, name
+    return ran
