@@ -5,6 +5,8 @@ from __future__ import annotations
 from pyspark.sql import Column
 from pyspark.sql import functions as F
 
+from sparkrill.operators.quality import SARCASM
+
 SHRINK, BAND = 3.0, 10
 MIN_SAMPLES, FLIP, Z = 5, 20, 1.959963984540054
 
@@ -40,3 +42,24 @@ def flip_direction(before: Column, after: Column, n_before: Column, n_after: Col
     """to_positive or to_negative where enough samples, a significant z and an index that crosses from one threshold to the other meet; else null."""
     sure = (n_before >= MIN_SAMPLES) & (n_after >= MIN_SAMPLES) & (F.abs(z) > Z)
     return F.when(sure & (before <= -FLIP) & (after >= FLIP), "to_positive").when(sure & (before >= FLIP) & (after <= -FLIP), "to_negative")
+
+
+def confident(positive: Column, neutral: Column, negative: Column, least: float = 0.5, margin: float = 0.1) -> Column:
+    """Whether the top probability is large enough and clearly above the next one; otherwise the label is left open."""
+    ranked = F.sort_array(F.array(positive, neutral, negative), asc=False)
+    return (F.get(ranked, F.lit(0)) >= least) & (F.get(ranked, F.lit(0)) - F.get(ranked, F.lit(1)) >= margin)
+
+
+def signed(label: Column, score: Column) -> Column:
+    """The score with the label's sign, 0 for neutral."""
+    return F.when(label == "positive", score).when(label == "negative", -score).otherwise(F.lit(0.0))
+
+
+def label_of(positive: Column, neutral: Column, negative: Column) -> Column:
+    """struct<label, score> of the top probability; of equal ones the first of positive, neutral, negative."""
+    top = F.greatest(positive, neutral, negative)
+    return F.struct(F.when(positive == top, "positive").when(neutral == top, "neutral").otherwise("negative").alias("label"), top.alias("score"))
+
+
+def is_sarcastic(text: Column) -> Column:
+    return F.coalesce(text.rlike(SARCASM), F.lit(False))

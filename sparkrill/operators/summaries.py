@@ -7,7 +7,9 @@ from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
 from sparkrill.functions.text import event_key, parse_citations, split_summary
+from sparkrill.operators.ranking import globally_ranked
 
+# Citations and the lines that models put before a summary.
 _CITATION = r"[\[［]\s*(\d+(?:\s*[,，、]\s*\d+)*)\s*[\]］]"
 _PREAMBLE = r"(?i)^\s*(?:摘要|事件摘要|以下是?|這是?|here(?:'s| is)|summary)\s*[：:]?\s*$"
 _LIST_MARK = r"^\s*(?:[-*•‧]|\d+[.)、])\s+"
@@ -69,6 +71,12 @@ def numbered_sources(sentences: DataFrame) -> DataFrame:
     return sentences.withColumn("_key", key).join(ranked.drop("_first"), ["event", "_key"]).drop("_key")
 
 
+def prompt_of(sources: Column, most: int = 8, language: str = "zh-Hant") -> Column:
+    """The prompt for a summary of numbered source lines that cites them."""
+    rules = f"Summarise the event in at most {most} sentences, in the language {language}. Use only facts of the numbered sources. End each sentence with the numbers that support it, as [n] or [n][m]. Leave out what no source supports.\n\nSources:\n"
+    return F.concat(F.lit(rules), sources, F.lit("\n\nSummary:\n"))
+
+
 def source_block(sentences: DataFrame) -> DataFrame:
     """(event, sources): the numbered lines [n] text that a prompt shows, in order."""
     line = F.concat(F.lit("["), F.row_number().over(W.partitionBy("event").orderBy("pos")).cast("string"), F.lit("] "), F.regexp_replace(F.trim("text"), "\n", " "))
@@ -107,13 +115,19 @@ def event_number(key: Column) -> Column:
 
 
 def knowledge_pack(posts: DataFrame, themes: list[str]) -> DataFrame:
-    """(theme, n, section): the posts (id, theme, title, source, url) of each theme as a list with source numbers; unknown themes are the last."""
+    """(theme, n, line): the posts (id, theme, title, source, url) of each theme as lines with source numbers; unknown themes are the last.
+
+    Numbers come from ranks over range partitions: a theme may have any number of posts.
+    """
     theme = F.when(F.col("theme").isin(*themes), F.col("theme")).otherwise(themes[-1])
-    ranked = posts.withColumn("theme", theme).withColumn("_n", F.row_number().over(W.partitionBy("theme").orderBy("id")))
+    place = F.element_at(F.create_map(*[x for k, t in enumerate(themes) for x in (F.lit(t), F.lit(k))]), theme)
+    ranked = globally_ranked(posts.select("id", theme.alias("theme"), place.alias("_t"), "title", "source", "url"), [F.col("_t"), F.col("id")])
+    firsts = ranked.groupBy("_t").agg(F.min("rank").alias("_first"))
+    n = F.col("rank") - F.col("_first") + 1
     source = F.when(F.coalesce("source", F.lit("")) != "", F.concat(F.lit("（"), F.col("source"), F.lit("）"))).otherwise("")
-    head = F.concat(F.lit("- **"), F.coalesce(F.nullif(F.trim("title"), F.lit("")), F.lit("(untitled)")), F.lit("**"), source, F.lit(" ["), F.col("_n").cast("string"), F.lit("]"))
+    head = F.concat(F.lit("- **"), F.coalesce(F.nullif(F.trim("title"), F.lit("")), F.lit("(untitled)")), F.lit("**"), source, F.lit(" ["), n.cast("string"), F.lit("]"))
     line = F.concat(head, F.when(F.coalesce("url", F.lit("")) != "", F.concat(F.lit("\n  - "), F.col("url"))).otherwise(""))
-    return ranked.withColumn("_line", line).groupBy("theme").agg(F.count("*").alias("n"), F.array_join(F.transform(F.array_sort(F.collect_list(F.struct("_n", "_line"))), lambda s: s["_line"]), "\n").alias("section"))
+    return ranked.join(F.broadcast(firsts), "_t").select("theme", n.alias("n"), line.alias("line"))
 
 
 def fitted_temperature(rows: DataFrame, logits: str, label: str, low: float = 0.05, high: float = 20.0, rounds: int = 40) -> float:

@@ -14,7 +14,7 @@ from sparkrill.functions.vectors import cosine
 from sparkrill.operators.components import components
 from sparkrill.storage import written
 
-BLOCK = 512
+BLOCK = 2048
 
 
 def similar_pairs(vectors: DataFrame, threshold: float, block: int = BLOCK) -> DataFrame:
@@ -46,6 +46,49 @@ def similar_pairs(vectors: DataFrame, threshold: float, block: int = BLOCK) -> D
     return spread.groupBy("i", "j").applyInPandas(product, "a bigint, b bigint, similarity double")
 
 
+def approximate_pairs(vectors: DataFrame, threshold: float, tables: int = 24, bits: int = 10, seed: int = 0) -> DataFrame:
+    """(a, b, similarity), a < b: as similar_pairs, for high thresholds and sets too large for it. Vectors whose signs along `bits` random directions agree in one
+    of `tables` draws are compared exactly; a pair at angle t is found with probability 1 - (1 - (1 - t / pi) ^ bits) ^ tables,
+X
+
+    Work grows with the vectors that share a code, not with all pairs; a larger set asks for more bits and tables. Zero vectors are similar to none.
+    """
+
+    def codes(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        planes: np.ndarray | None = None
+        for batch in batches:
+            if not batch.num_rows:
+                continue
+            values = np.array(batch.column(1).to_pylist(), float)
+            if planes is None:
+                planes = np.random.default_rng(seed).standard_normal((values.shape[1], tables * bits))
+            signs = (values @ planes > 0).reshape(len(values), tables, bits)
+            code = signs @ (1 << np.arange(bits, dtype=np.int64)) + (np.arange(tables, dtype=np.int64) << bits)
+            filled = np.linalg.norm(values, axis=1) > 0
+            ids = np.repeat(batch.column(0).to_numpy()[filled], tables)
+            yield pa.RecordBatch.from_arrays([pa.array(ids), pa.array(code[filled].reshape(-1))], ["id", "code"])
+
+    keyed = written(vectors.select(F.col("id").cast("bigint").alias("id"), F.col("v").cast("array<double>").alias("v")).mapInArrow(codes, "id bigint, code bigint"), "vector-codes")
+    pairs = keyed.select(F.col("id").alias("a"), "code").join(keyed.select(F.col("id").alias("b"), "code"), "code").filter("a < b").select("a", "b").distinct()
+    sides = pairs.join(vectors.select(F.col("id").alias("a"), F.col("v").alias("x")), "a").join(vectors.select(F.col("id").alias("b"), F.col("v").alias("y")), "b")
+    return sides.select("a", "b", cosine(F.col("x"), F.col("y")).alias("similarity")).filter(F.col("similarity") >= threshold - 1e-12)
+
+
+def density_clusters(vectors: DataFrame, threshold: float, min_points: int = 3) -> DataFrame:
+    """(id, cluster): vectors with at least min_points others that alike are dense; dense ones that are alike share a cluster, named by its smallest dense id;
+    others belong to the most alike dense one (of equals the smaller id), or to -1, the noise."""
+    pairs = written(similar_pairs(vectors, threshold), "density-pairs")
+    both = pairs.unionByName(pairs.select(F.col("b").alias("a"), F.col("a").alias("b"), "similarity"))
+    dense = written(both.groupBy("a").agg(F.count("*").alias("n")).filter(F.col("n") >= min_points).select(F.col("a").alias("id")), "density-points")
+    inside = pairs.join(dense.select(F.col("id").alias("a")), "a", "left_semi").join(dense.select(F.col("id").alias("b")), "b", "left_semi")
+    found = dense.join(components(inside.select("a", "b")).select("id", "component"), "id", "left").select("id", F.coalesce("component", "id").alias("cluster"))
+    edge = both.join(dense.select(F.col("id").alias("b")), "b", "left_semi").join(dense.select(F.col("id").alias("a")), "a", "left_anti")
+    nearest = edge.groupBy("a").agg(F.max_by("b", F.struct(F.round("similarity", 9), -F.col("b"))).alias("b"))
+    border = nearest.join(found.select(F.col("id").alias("b"), "cluster"), "b").select(F.col("a").alias("id"), "cluster")
+    known = found.unionByName(border)
+    return vectors.select("id").join(known, "id", "left").select("id", F.coalesce("cluster", F.lit(-1)).alias("cluster"))
+
+
 def threshold_clusters(vectors: DataFrame, threshold: float, min_size: int = 2) -> DataFrame:
     """(id, cluster): single-link clusters at a cosine threshold; cluster is the smallest id. Smaller ones than min_size are left out."""
     found = components(written(similar_pairs(vectors, threshold).select("a", "b"), "vector-edges")).select("id", F.col("component").alias("cluster"))

@@ -6,9 +6,9 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
-from sparkrill.plans import corpus, evaluation, events, incremental, models, texts, vectors
+from sparkrill.plans import corpus, evaluation, events, incremental, ingest, models, summaries, texts, vectors
 
-_ALL = {**events.QUERIES, **models.QUERIES, **corpus.QUERIES, **texts.QUERIES, **vectors.QUERIES, **evaluation.QUERIES, **incremental.QUERIES}
+_ALL = {**events.QUERIES, **models.QUERIES, **corpus.QUERIES, **texts.QUERIES, **vectors.QUERIES, **evaluation.QUERIES, **incremental.QUERIES, **ingest.QUERIES, **summaries.QUERIES}
 
 
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:

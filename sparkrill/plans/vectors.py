@@ -46,6 +46,23 @@ def threshold_clusters(spark: SparkSession, d: str) -> DataFrame:
     return V.threshold_clusters(_vectors(spark, d).select("id", "v"), THRESHOLD)
 
 
+def density_clusters(spark: SparkSession, d: str) -> DataFrame:
+    return V.density_clusters(_vectors(spark, d).select("id", "v"), THRESHOLD, 3)
+
+
+DENSITY = f"""
+WITH RECURSIVE {_PAIRS}, ends AS (SELECT a, b, similarity FROM pairs UNION ALL SELECT b, a, similarity FROM pairs), dense AS (SELECT a AS id FROM ends GROUP BY a HAVING count(*) >= 3),
+inner_ends AS (SELECT a, b FROM ends WHERE a IN (SELECT id FROM dense) AND b IN (SELECT id FROM dense)), reach(id, root) AS (SELECT id, id FROM dense UNION SELECT n.b, r.root FROM reach r JOIN inner_ends n ON n.a = r.id WHERE r.root < n.b), comp AS (SELECT id, min(root) AS cluster FROM reach GROUP BY id),
+border AS (SELECT a AS id, arg_max(b, (round(similarity, 9), -b)) AS b FROM ends WHERE b IN (SELECT id FROM dense) AND a NOT IN (SELECT id FROM dense) GROUP BY a)
+SELECT e.id, coalesce(c.cluster, k.cluster, -1) AS cluster FROM e LEFT JOIN comp c ON c.id = e.id LEFT JOIN border b ON b.id = e.id LEFT JOIN comp k ON k.id = b.b
+"""
+
+
+def approximate_pairs(spark: SparkSession, d: str) -> DataFrame:
+    """Pairs of a cosine of 0.9 and more by hashed directions instead of all products."""
+    return V.approximate_pairs(_vectors(spark, d), 0.9).select("a", "b", F.round("similarity", 5).alias("similarity"))
+
+
 def cluster_representatives(spark: SparkSession, d: str) -> DataFrame:
     vectors = _vectors(spark, d).select("id", "v")
     return V.representatives(vectors, written(V.threshold_clusters(vectors, THRESHOLD), "clusters")).withColumn("similarity", F.round("similarity", 5))
@@ -88,6 +105,8 @@ def faithfulness(spark: SparkSession, d: str) -> DataFrame:
 
 QUERIES = {
     "cosine_pairs": (cosine_pairs, f"WITH {_PAIRS} SELECT a, b, round(similarity, 5) AS similarity FROM pairs"),
+    "density_clusters": (density_clusters, DENSITY),
+    "approximate_pairs": (approximate_pairs, None),
     "centroids": (centroids, CENTROIDS),
     "threshold_clusters": (threshold_clusters, f"WITH RECURSIVE {_CLUSTERS} SELECT id, cluster FROM clusters"),
     "cluster_representatives": (cluster_representatives, REPRESENTATIVES),

@@ -29,7 +29,7 @@ def test_numbers_gates_and_packs(spark):
     rows = spark.createDataFrame([(0, "x", 1.0), (1, "", 1.0), (1, "no mark", 1.0), (1, "fine [1]", 0.2), (1, "fine [1]", 0.9), (1, "fine [1]", None)], "n_sentences int, t string, faithfulness_score double").withColumn("n", F.lit(1)).withColumn("post_ids", F.array(F.lit(2), F.lit(10)))
     assert [r.status for r in S.gated_records(S.validated(rows, "t", "n")).collect()] == ["no_key_sentences", "empty_summary", "format_issues", "low_faithfulness", "ok", "ok"]
     posts = spark.createDataFrame([(2, "a", "T", "s", "u"), (1, "?", None, None, None)], "id int, theme string, title string, source string, url string")
-    assert {r.theme: r.section for r in S.knowledge_pack(posts, ["a", "z"]).collect()} == {"a": "- **T**（s） [1]\n  - u", "z": "- **(untitled)** [1]"}
+    assert {(r.theme, r.n): r.line for r in S.knowledge_pack(posts, ["a", "z"]).collect()} == {("a", 1): "- **T**（s） [1]\n  - u", ("z", 1): "- **(untitled)** [1]"}
 
 
 def test_labels(spark):
