@@ -154,3 +154,41 @@ def test_plain_classes_hide_nothing():
 def test_only_the_dotless_i_is_turkish():
     assert confusables.consistent("ağ pаypаl ışık") == "ağ paypal ışık"
     assert confusables.consistent("ağ привет") == "ağ привет"
+
+
+def test_long_notices_and_error_pages():
+    """Sentences of any length are tested."""
+    tail = " the quick brown fox jumps over the lazy dog and runs along the river bank" * 6
+    assert evidence("Internal server error" + tail) == "error"
+    assert evidence("Please enable JavaScript" + tail + " to view this page") == "script"
+    assert evidence("Yesterday I wrote about an internal server error" + tail) is None
+
+
+def test_a_page_of_nothing_but_recurrent_lines():
+    import xxhash
+
+    keys = frozenset(xxhash.xxh64_intdigest(line.encode(), seed=42) for line in ("0 not found", "about us", "all rights reserved by the example company of this world"))
+    assert evidence("404 Not Found", keys) == "error"
+    assert evidence("404 Not Found\nAll rights reserved by the example company of this world", keys) is None
+    assert evidence("About us", keys) is None
+
+
+@pytest.mark.parametrize(
+    ("text", "form"),
+    [("ⅼist", "list"), ("ᎪᏢI", "API"), ("ꓮPꓲ", "API"), ("ⲞpenⲀI", "OpenAI"), ("が", "が"), ("рaypal ş", "paypal ş"), ("十〸", "十〸"), ("Ⅳ", "Ⅳ"), ("ᏣᎳᎩ", "ᏣᎳᎩ"), ("ⲫⲓ", "ⲫⲓ")],
+)
+def test_letters_of_more_scripts(text, form):
+    assert confusables.consistent(text) == form and confusables.consistent(form) == form
+
+
+def test_other_scripts_are_no_latin_language():
+    from sparkrill.llm.langid import script
+
+    assert script("Привет, как дела у вас сегодня?")[0] == () and script("안녕하세요 여러분 반갑습니다")[0] == () and script("Γειά σου κόσμε")[0] == ()
+    assert script("Hello мир and all of you")[0][0] == "en" and script("大家好")[0][0] == "ja"
+
+
+def test_size_of_the_filter():
+    from sparkrill.llm.prefilter import LEAST, MOST, slots_for
+
+    assert slots_for(0) == LEAST and slots_for(1 << 40) == MOST and slots_for(10_000) >= 160_000
