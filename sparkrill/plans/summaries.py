@@ -7,6 +7,8 @@ from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
 from sparkrill.functions import text as T
+from sparkrill.functions.vectors import norm
+from sparkrill.operators import faithfulness as faith
 from sparkrill.operators import hooks, pipeline, render
 from sparkrill.operators import sentiment as mood
 from sparkrill.operators import summaries as S
@@ -160,6 +162,37 @@ SELECT id, NOT (first <> '' AND NOT cites) AND inside AS ok, false AS empty, CAS
 """
 
 
+def faithfulness_checks(spark: SparkSession, d: str) -> DataFrame:
+    """How well each summary of two sentences is held by its sources, by the stand-in entailment model: shares of sentences, citations and sources, and the score."""
+    title = F.regexp_replace(F.coalesce("title", F.lit("")), r"[^A-Za-z ]", "")
+    clean = base.posts(spark, d).select("id", title.alias("t"))
+    rows = _cited(spark, d).join(clean, "id").select("id", "summary", F.transform(F.sequence(F.lit(1), F.col("n_sources")), lambda i: F.when(i == 1, F.col("t")).otherwise("then more words")).alias("sources"))
+    judged = hooks.with_entailment(faith.sentences(rows), "premise", "hypothesis")
+    found = faith.report(judged, rows.select("id", F.size("sources").alias("n_sources")))
+    return found.select("id", "n", *[F.round(c, 6).alias(c) for c in ("entailed", "validity", "coverage", "score")])
+
+
+FAITHFULNESS = f"""
+WITH c AS ({_CITED}), t AS (SELECT *, list_contains(string_split(lower(first), ' '), 'then') AND list_contains(string_split(lower(first), ' '), 'more') AS titled, first <> '' OR cites AS has_first, k BETWEEN 1 AND n AS inside FROM c),
+e AS (SELECT *, 1 + CAST(has_first AS INTEGER) AS m, CAST(has_first AND trim(first, ' ') <> '' AS INTEGER) + CAST(CASE WHEN inside AND k = 1 THEN titled WHEN inside THEN true ELSE n >= 2 OR titled END AS INTEGER) AS ent,
+  (CAST(cites AS INTEGER) + CAST(inside AS INTEGER)) / (CAST(cites AS INTEGER) + 1) AS validity, (CASE WHEN cites THEN 1 ELSE 0 END + CASE WHEN inside AND NOT (k = 1 AND cites) THEN 1 ELSE 0 END) / n AS coverage FROM t)
+SELECT id, m AS n, round(ent / m, 6) AS entailed, round(validity, 6) AS validity, round(coverage, 6) AS coverage, round(0.5 * ent / m + 0.2 * validity + 0.15 * coverage + 0.15, 6) AS score FROM e
+"""
+
+
+def hashed_vectors(spark: SparkSession, d: str) -> DataFrame:
+    """The stand-in embedding of each title: how many dimensions it fills, the largest of them and its length."""
+    text = F.regexp_replace(F.coalesce("title", F.lit("")), "[^A-Za-z0-9 ]", " ")
+    rows = hooks.with_vectors(base.posts(spark, d).select("id", text.alias("text")), "text")
+    return rows.select("id", F.size(F.filter("v", lambda x: x > 0)).alias("filled"), F.round(F.array_max("v"), 6).alias("largest"), F.round(norm(F.col("v")), 6).alias("length"))
+
+
+HASHED_VECTORS = """
+WITH w AS (SELECT id, unnest(regexp_extract_all(lower(regexp_replace(coalesce(title, ''), '[^A-Za-z0-9 ]', ' ', 'g')), '[a-z0-9]+')) AS w FROM posts), c AS (SELECT id, CAST(('0x' || right(md5(w), 2)) AS INTEGER) % 64 AS k, count(*) AS n FROM w GROUP BY 1, 2),
+f AS (SELECT id, CAST(count(*) AS INTEGER) AS filled, round(max(n) / sqrt(sum(n * n)), 6) AS largest FROM c GROUP BY id) SELECT p.id, coalesce(filled, 0) AS filled, coalesce(largest, 0.0) AS largest, CASE WHEN filled > 0 THEN 1.0 ELSE 0.0 END AS length FROM posts p LEFT JOIN f ON f.id = p.id
+"""
+
+
 def gate_statuses(spark: SparkSession, d: str) -> DataFrame:
     """How many posts would stop at each gate on the way to a training record."""
     checked = S.validated(_cited(spark, d), "summary", "n_sources")
@@ -334,6 +367,8 @@ QUERIES = {
     "event_keys": (event_keys, EVENT_KEYS),
     "cited_ids": (cited_ids, CITED_IDS),
     "citation_checks": (citation_checks, CITATION_CHECKS),
+    "faithfulness_checks": (faithfulness_checks, FAITHFULNESS),
+    "hashed_vectors": (hashed_vectors, HASHED_VECTORS),
     "gate_statuses": (gate_statuses, GATE_STATUSES),
     "source_numbers": (source_numbers, SOURCE_NUMBERS),
     "source_blocks": (source_blocks, SOURCE_BLOCKS),
