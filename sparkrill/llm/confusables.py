@@ -19,6 +19,8 @@ import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
+from sparkrill.storage import written
+
 # Letters of other scripts, and rare Latin ones, with the Latin letter each looks like.
 LOOK_ALIKE = dict(
     zip(
@@ -172,22 +174,30 @@ def consistent_texts(texts: DataFrame, with_skeleton: bool = True) -> DataFrame:
 
 
 def affected_fields(rows: DataFrame, id_col: str, fields: list[str]) -> DataFrame:
-    """(id, field) of the texts that are not the ordinary one of their skeleton's group.
+    """(id, field) of the texts that are not an ordinary one of their skeleton's group.
 
-    All originals of one skeleton look the same; the ordinary one is their consistent form. A text is affected if it differs from that
-    form and both have the same skeleton, by which a change that would alter the look is no case.
+    Originals are grouped by equal skeleton, with their consistent forms beside them; a text is affected if its group has ordinary forms
+    and it is none of them. A form that would alter the look has another skeleton, so that such a change is no case. Texts of plain characters
+    are their own form and need no look. Repeated rows give repeated rows; null and empty texts are no case.
     """
+    import xxhash
+
+    def key(text: str) -> int:
+        return xxhash.xxh64_intdigest(text.encode("utf-8", "surrogatepass")) - (1 << 63)
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
-            hit = []
-            for text in batch.column(2).to_pylist():
-                form = consistent(text)
-                hit.append(form != text and skeleton(form) == skeleton(text))
-            yield pa.RecordBatch.from_arrays([batch.column(0), batch.column(1)], ["id", "field"]).filter(pa.array(hit, pa.bool_()))
+            before = batch.column(2).to_pylist()
+            forms = [consistent(t) for t in before]
+            columns = [[key(x) for x in texts] for texts in ([skeleton(t) for t in before], before, [skeleton(f) for f in forms], forms)]
+            yield pa.RecordBatch.from_arrays([batch.column(0), batch.column(1), *[pa.array(c, pa.int64()) for c in columns]], ["id", "field", "skeleton", "text", "form_skeleton", "form"])
 
     texts = fields_of(rows, id_col, fields).filter(may_differ(F.col("text")))
-    return texts.select(F.col("id").cast("bigint").alias("id"), "field", "text").mapInArrow(run, "id bigint, field string")
+    found = texts.select(F.col("id").cast("bigint").alias("id"), "field", "text").mapInArrow(run, "id bigint, field string, skeleton bigint, text bigint, form_skeleton bigint, form bigint")
+    groups = written(found, "look-alikes")
+    ordinary = groups.select(F.col("form_skeleton").alias("skeleton"), F.col("form").alias("text")).distinct()
+    odd = groups.select("id", "field", "skeleton", "text").join(ordinary, ["skeleton", "text"], "left_anti")
+    return odd.join(ordinary.select("skeleton").distinct(), "skeleton", "left_semi").select("id", "field")
 
 
 def look_alike_groups(texts: DataFrame) -> DataFrame:
