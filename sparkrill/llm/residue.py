@@ -21,6 +21,7 @@ from sparkrill.storage import written
 
 HOST_SHARE = 0.5  # of a host's documents that have a line, for boilerplate
 HOST_COUNT = 10  # and documents that have it at least: of fewer, nothing can be called recurrent
+NOTICE_LINE = 200  # characters: a line of at most 16 words of notices is no longer
 BARE = 0.9  # of the letters of a page that is nothing but recurrent lines
 FEW_LINES = 500_000  # recurrent lines of all hosts together that are given to all tasks
 LOREM_WORDS = 3
@@ -33,16 +34,16 @@ _BULLET = re.compile(r"^(?:[>*+•·\-–]+\s*|#{1,6}\s+|\d{1,3}[.)]\s+)+")
 _NAME = r"[A-Za-z][A-Za-z0-9_.\- ]{0,40}?"
 # The forms of unfilled placeholders.
 PLACEHOLDER = re.compile(
-    rf"\{{\{{\{{?\s*{_NAME}\s*\}}?\}}\}}|\$\{{\s*{_NAME}\s*\}}|\{{%=?-?\s*{_NAME}\s*-?%\}}|<%=?-?\s*{_NAME}\s*-?%>|\[\[\s*{_NAME}\s*\]\]|<<\s*{_NAME}\s*>>"
+    rf"\{{\{{\{{?[#/^&>]?\s*{_NAME}\s*(?:\|[^{{}}\n]{{0,40}})?\}}?\}}\}}|\$\{{\s*{_NAME}\s*\}}|\{{%=?-?\s*{_NAME}\s*-?%\}}|<%=?-?\s*{_NAME}\s*-?%>|\[\[\s*{_NAME}\s*\]\]|<<\s*{_NAME}\s*>>"
     rf"|@@\s*{_NAME}\s*@@|(?<![\w_])__(?!(?:init|main|name|file|call|dict|doc|str|repr|class|all|version)__){_NAME}__(?![\w_])|%\(\s*{_NAME}\s*\)[sd]|%%?[A-Za-z][A-Za-z0-9_.]{{2,40}}%%?(?![A-Za-z0-9])"
     rf"|(?<![\w#&])#[A-Za-z][A-Za-z0-9_.]{{1,40}}#(?![\w#])|(?<![{{$%\w])\{{(?:[A-Za-z][A-Za-z0-9_.]{{0,40}}|\d)\}}(?!\}})|«[A-Za-z][A-Za-z0-9_.]{{1,40}}»"
     rf"|【\s*(?:[請请]?(?:填入|輸入|输入|填寫|填写)|ここに)[^】\n]{{0,40}}】|\((?:add|insert|enter|fill in)\s+(?:[A-Za-z]\w*[_.]\w+|[a-z]+[A-Z]\w*|[A-Za-z]+)\)|\[(?:INSERT|Insert|insert|ADD|Add|add|ENTER|Enter|enter|YOUR|Your|your)\s[^\]\n]{{1,40}}\]"
-    rf"|<{_NAME} (?:goes|comes) here>|<!--[^>\n]{{0,60}}-->\s*(?:TBD|TODO|XXX+)|\[object Object\]|\bXXXX+\b"
+    rf"|<(?:YOUR|INSERT|ENTER|ADD|COMPANY|FIRST|LAST|USER)[ _][A-Z][A-Z _]{{1,30}}>|<{_NAME} (?:goes|comes) here>|<!--[^>\n]{{0,60}}-->\s*(?:TBD|TODO|XXX+)|\[object Object\]|\bXXXX+\b"
 )
 # Values that stand for a missing one, where a word or name should be.
 _VALUE = r"(?:NaN|undefined|null|None|Invalid Date|TBD)"
 FAILED_VALUE = re.compile(
-    rf"\b(?:Dear|Hi|Hello|Hola|Published|Posted|Updated|Author:?|By|Source:|Tags:|More:|Read more:)\s+{_VALUE}\b|\bfor {_VALUE} is\b"
+    rf"\b(?:Dear|Hi|Hello|Hola|Welcome),\s+{_VALUE}\b|\b(?:Dear|Hi|Hello|Hola|Published|Posted|Updated|Author:?|By|Source:|Tags:|More:|Read more:)\s+{_VALUE}\b|\bfor {_VALUE} is\b"
     r"|\bInvalid Date\b|(?<!into )(?<!to )(?<!as )(?<!is )(?<!was )(?<!or )(?<!return )(?<!returns )(?<!returned )(?<!shows )(?<!showed )(?<!print )(?<!prints )(?<!printed )(?<!called )\bNaN\b(?! values?\b)"
     r"|\bundefined\b(?! (?:value|variable|behaviou?r|function|reference|symbol|property|method|term|field|name|is not)s?\b)(?<!is undefined)(?<!was undefined)(?<!are undefined)(?<!be undefined)(?<!left undefined)(?<!remains undefined)"
     r"|(?<=[a-z] )None\b(?! of\b)|(?<=[a-z] )null\b(?! (?:value|pointer|hypothes[ie]s|check|and void|result|model|string|field|column|byte|set|island)s?\b)(?<!is null)(?<!was null)(?<!be null)(?<!are null)(?<!a null)(?<!not null)(?<!or null)"
@@ -64,10 +65,71 @@ ERROR_PAGE = re.compile(
     r"|(?:抱歉[，,！!]?|很抱歉[，,]?|對不起[，,]?|对不起[，,]?|哎呀[，,！!]?|糟糕[，,！!]?)?(?:找不到(?:網頁|网页|頁面|页面|該頁|该页|您)|(?:您(?:要找|訪問|访问)的)?(?:頁面|页面|網頁|网页)(?:不存在|無法|无法|已(?:被)?(?:刪除|删除|移除)|走丟|走丢)|無法(?:顯示|開啟|連上|存取|載入|連線|連接|取得)|无法(?:显示|打开|访问|连接|加载|获取)|(?:伺服器|服务器)(?:內部|内部|發生|发生|出|忙|错|錯|开小差|無法|无法|暫時|暂时)|(?:連線|连接|請求|请求)(?:已)?(?:逾時|超时|超時)|(?:存取|訪問|访问)(?:被)?(?:被拒|拒絕|拒绝)|拒[絕绝](?:存取|訪問|访问)|(?:系統|系统)(?:錯誤|错误|忙|維護|维护|發生|繁忙)|(?:您|你)(?:沒有|没有)(?:權限|权限)|(?:登入|登录|工作階段|会话|會話)(?:已)?(?:逾時|过期|過期|超时)|(?:請求|请求)(?:過於|过于|過多|过多)|出[現现]?(?:了)?(?:點|点)?(?:錯|错|問題|问题))",
     re.I,
 )
+# Error pages by their build: an apology, a thing of the web, and a state it is in, with which the sentence ends.
+_SORRY = r"(?:(?:oops|ops|oups|sorry|uh-?oh|whoops|hmm+|we['’]?(?:re| are) sorry|lo sentimos|désolée?s?|leider|entschuldigung|desculpe|申し訳ありません|抱歉)(?:,? but)?[!,.…:; ]+)?"
+_THING = r"(?:(?:the|this|that|your|our|a|an) )?(?:(?:requested|remote|target|web) )?(?:page|web ?page|site|website|url|address|resource|content|server|connection|host|database|document|file|session|request|article|application|app|service|link|account)"
+_WHICH = r"(?: (?:that )?(?:you(?:['’]re| are| were)? (?:requested|looking for|trying to \w+|tried to \w+)))?(?: /\S*)?"
+_STATE = r" (?:can(?:no|['’])?t be|can not be|could(?: not|n['’]t) be|(?:was|is|are|were|has been|have been)(?: not|n['’]t)?|does(?: not|n['’]t)|no longer|has(?: not|n['’]t)?|failed to) ?(?:(?:been|currently|temporarily|permanently|no longer|not) )*(?:found|reached|displayed|available|loaded|load|shown|opened|exists?|interrupted|refused|reset|blocked|removed|moved|deleted|unavailable|denied|closed|timed out|expired|responding|respond|invalid|broken|connect|limited|suspended|disabled)"
+_REST = r"(?:,? or [^.!?]{1,60}|(?: due to| because of| for) [^.!?]{1,40}|(?: on| from| by| at| in)? ?(?:this|the|our|your)? ?(?:server|site|network|browser|moment|time|right now|now|anymore|any more|any longer|administrator))?\s*[.!。]?$"
+BUILT_ERROR = re.compile(
+    _SORRY + "(?:" + _THING + _WHICH + _STATE + _REST
+    + r"|you (?:do(?: not|n['’]t) have|lack) (?:the )?(?:necessary )?(?:permissions?|access|rights?) to|you (?:have been|are|were) (?:blocked|banned|logged out|rate.?limited)|you are not (?:authori[sz]ed|allowed|permitted) to (?:access|view|see|open)"
+    r"|we (?:can['’]?t|cannot|can not|could not|couldn['’]?t|were unable to) (?:seem to )?(?:find|reach|load|open|display|locate|process) (?:the |that |this |your )?(?:page|site|file|content|request|resource|url)|our (?:systems?|servers?) (?:have|has) detected (?:unusual|suspicious)"
+    r"|(?:un problème|une erreur inattendue) (?:est survenue?|s['’]est produite?)|(?:la|esta|cette|a|essa) p[áa]gin?[ae]? (?:que (?:buscas?|está buscando|você (?:procura|está procurando)|vous (?:cherchez|recherchez)) )?(?:no se puede|no se encuentra|no (?:existe|está)|não (?:existe|está|foi|pode)|n['’]existe|est introuvable)"
+    r"|(?:diese|die) seite (?:existiert|ist|wurde|konnte|kann) (?:leider )?nicht|(?:ページ|サイト|サーバー?|コンテンツ)(?:が|は|に|を)(?:見つかり|存在し|表示でき|接続でき|利用でき|読み込め)|(?:系统|系統|服务|服務|网络|網路|服务器|伺服器)(?:繁忙|异常|異常|错误|錯誤|出错|出錯|不可用|无响应|無回應|暂不可用|暫停)"
+    r"|(?:please )?try (?:again|reloading|refreshing)(?: later| in a (?:few|moment)[^.!?]{0,20}| the page)?[.!]?$|(?:bitte versuchen sie es|veuillez réessayer|inténtalo de nuevo|tente novamente)[^.!?]{0,20}(?:später|plus tard|más tarde|mais tarde)"
+    r"|http (?:status|error|code) [45]\d\d|error (?:code )?[45]\d\d\d?\b|(?:temporarily|currently) (?:unavailable|offline|out of service|closed for)|(?:site|page|service|server|application|database|proxy|network|script|runtime|parse|syntax|connection) error(?: page)?[.!]?$|(?:error|failure) (?:establishing|connecting to|loading|fetching|opening|retrieving|reading) |failed to (?:fetch|load resource)[.!]?$|whitelabel error|upstream connect|attention required!?"
+    r"|(?:err|dns)_[a-z]+_[a-z_]+\b|nxdomain\b"
+    + ")",
+    re.I,
+)
+_BUILT_HINTS = ("not ", "n't", "n’t", "no ", "não ", "unavailable", "offline", "blocked", "banned", "limited", "refused", "interrupted", "moved", "removed", "deleted", "expired", "timed out", "denied", "suspended", "disabled", "closed", "broken", "invalid", "reset", "error", "failure", "failed", "try ", "http ", "unusual", "suspicious", "survenu", "produite", "introuvable", "nicht", "versuchen", "réessayer", "inténtalo", "tente ", "required", "upstream", "err_", "dns_", "nxdomain", "page", "ません", "め", "繁忙", "异常", "異常", "不可用", "出", "错", "錯", "无响应", "無回應", "暂", "暫")
+# The words of which notices are built. A line of these alone, with a thing and a state or two states among them, says nothing else.
+THINGS = frozenset(
+    "page webpage site website url link address resource server host database connection request session access network account browser file document service application app gateway proxy check javascript script scripts cookies "
+    "página sitio web servidor acceso conexión servicio sesión site acesso conexão serviço sessão serveur accès connexion seite webseite zugriff verbindung sitzung dienst adresse anfrage".split()
+)
+STATES = frozenset(
+    "error errors found missing denied refused blocked forbidden unauthorized unauthorised unavailable down offline maintenance failed failure invalid expired timeout timed broken disabled deactivated required suspended removed deleted moved wrong bad gone reload retry refresh redirecting unexpected unreachable unknown crashed overloaded busy lost interrupted "
+    "inesperado encontrada encontrado disponible denegado caducado expirada indisponível negado inesperada introuvable indisponible refusé interdit expiré survenue gefunden verweigert erlaubt verfügbar deaktiviert abgelaufen fehlgeschlagen fehler erreur erro aufgetreten unerwarteter".split()
+)
+GLUE = frozenset(
+    "the this that a an your our you we to of for on in at by from with and or but is are was were has have had been be it its it's something something's looks look like seems please again later try could can cannot can't couldn't not no isn't aren't doesn't don't does do properly temporarily currently permanently remote status code security must allow enable enabled allowing view content continue kindly turn off back click here go home oops sorry log out need needs requires works best when there too many http https nginx apache cloudflare requested internal all "
+    "la el los las un una ha han ocurrido solicitada fue por favor se no está de en para su necesita temporariamente o os as uma não foi solicitado le les une des est pas sont votre pour nicht wurde die der das ein eine ist es ihre ihr angeforderte leider konnte im um zu funcionar mostrar activez aktivieren sie bitte".split()
+)
+_CJK_NOTICE = re.compile(
+    "無法|无法|不能|訪問|访问|連線|连接|連接|發生|发生|出現|出现|錯誤|错误|此|該|该|您|你|的|網站|网站|網頁|网页|頁面|页面|本|已|被|刪除|删除|移除|找不到|要|不存在|伺服器|服务器|系統|系统|請|请|稍後|稍后|再試|再试|重試|重试|需要|需|必須|必须|啟用|启用|開啟|开启|才能|瀏覽|浏览|逾時|超时|權限|权限|沒有|没有|維護|维护|中"
+    "|この|サイト|ページ|サーバー?|に|が|は|を|の|で|アクセス|接続|できません|でした|見つかりません|存在しません|エラー|発生しました|ブラウザ|有効|オン|して|ください|必要です|メンテナンス|表示|再度|お試し|後|javascript|[0-9]+|[ \t　。，、,.!！:：()（）-]"
+)
+_CJK_STATE = re.compile("無法|无法|不能|錯誤|错误|刪除|删除|移除|找不到|不存在|逾時|超时|啟用|启用|開啟|开启|沒有|没有|維護|维护|できません|見つかりません|存在しません|エラー|有効|オン|必要|メンテナンス")
+_CJK_THING = re.compile("網站|网站|網頁|网页|頁面|页面|伺服器|服务器|系統|系统|連線|连接|連接|サイト|ページ|サーバー?|アクセス|接続|javascript", re.I)
+_FIRST_KANA_HAN = re.compile("[぀-ヿ㐀-鿿]")
+_PARTS = re.compile(r"[^\W\d_]+(?:['’][^\W\d_]+)?|\d+")
+
+
+def _notice(line: str) -> str | None:
+    """script or error for a line that is built of the words of notices alone."""
+    low = line.lower().replace("’", "'")
+    scripts = "script" in low or "cookies" in low
+    if _FIRST_KANA_HAN.search(low):
+        bare = _CJK_NOTICE.sub("", low)
+        return ("script" if scripts else "error") if not bare and _CJK_STATE.search(low) and _CJK_THING.search(low) else None
+    words = _PARTS.findall(low)
+    if not 2 <= len(words) <= 16:
+        return None
+    things = sum(w in THINGS for w in words)
+    states = sum(w in STATES or len(w) == 3 and w[0] in "45" and w.isdigit() for w in words)
+    known = things + states + sum(w in GLUE or w.isdigit() and not (len(w) == 3 and w[0] in "45") for w in words)
+    if known < len(words) or not (things and states or states > 1 or scripts and things > 0 and "enable" in low):
+        return None
+    return "script" if scripts else "error"
+
+
 # How notices begin that scripts are required.
 SCRIPTS = re.compile(
     r"(?:please )?(?:enable|turn on|activate|allow|switch on) (?:your )?(?:java ?scripts?|scripts?|cookies)\b|(?:you need|you must|you have to|this (?:site|page|app|application|website)|your browser|the browser|we(?:'ve| have)? (?:noticed|detected)|java ?scripts?|scripts?|to (?:use|view|run|continue|see))\b[^.!?]{0,60}\b(?:java ?scripts?|scripts?)\b[^.!?]{0,60}\b(?:enable|require|need|turn|disabled|block|switched|support|activat|run|work|off|on)"
     r"|(?:java ?script|scripts?) (?:is|are|must be|has been|needs? to be|seems? to be|appears? to be) (?:required|disabled|not (?:enabled|supported)|turned off|enabled|off|blocked|needed|switched)|this (?:site|page|app|application) (?:needs|requires|works best with) (?:java ?scripts?|scripts?)"
+    r"|(?:we['’]?(?:re| are) sorry,? but|unfortunately,?|it (?:looks like|seems|appears))[^.!?]{0,80}\b(?:java ?script|scripts)\b|(?:your|this|the) browser (?:does(?: not|n['’]t)|can(?:not|['’]t)|has (?:disabled|blocked)|blocks)[^.!?]{0,30}\b(?:java ?script|scripts?)\b|(?:please )?(?:turn|switch) (?:your )?(?:java ?script|scripts|cookies) (?:back )?on\b|java ?script (?:is (?:not available|unavailable|switched off)|not (?:available|detected|found))|(?:es necesario|necesitas?|hay que|se requiere) (?:habilitar|activar|tener)?[^.!?]{0,20}java ?script|(?:para continuar,? |é (?:necessário|preciso) )(?:ativ|habilit)[^.!?]{0,30}java ?script|il (?:faut|est nécessaire)[^.!?]{0,30}java ?script|(?:zum fortfahren|um fortzufahren|zur anzeige)[^.!?]{0,40}java ?script"
     r"|(?:por favor,? )?(?:active|activa|habilite|habilita|permita) (?:el )?(?:java ?script|los scripts)|(?:este sitio|esta página|esta aplicación|su navegador|tu navegador|necesita)\b[^.!?]{0,80}\b(?:java ?script|scripts)"
     r"|(?:por favor,? )?(?:ative|habilite|ligue|permita) (?:o |os )?(?:java ?script|scripts)|(?:este site|esta página|este aplicativo|o seu navegador|seu navegador|você precisa)\b[^.!?]{0,80}\b(?:java ?script|scripts)"
     r"|(?:veuillez |merci d['’])?(?:activer|activez|autoriser|autorisez) (?:le |les )?(?:java ?script|scripts)|(?:ce site|cette page|cette application|votre navigateur|vous devez)\b[^.!?]{0,80}\b(?:java ?script|scripts)"
@@ -78,7 +140,7 @@ SCRIPTS = re.compile(
 )
 # How filler begins.
 FILLER = re.compile(
-    r"(?:sample|dummy|placeholder|filler|example) (?:text|copy|content|paragraph|sentence)s?\b(?: here| goes here)?[.,:!]?(?:$|\s*(?:do not|to be|replace|here|only|please))|(?:your|body|my|main|more|the) (?:text|copy|content|headline|title|paragraph)s? (?:goes|comes|will go|to be added|to go) here|(?:body|draft|headline|final|more|text|main)? ?(?:copy|text|content) to (?:follow|come)\b|some text, some more text"
+    r"(?:add|insert|enter|write|type|put|describe|paste) (?:your|a|an|some|the|something|anything)\b[^.!?]{0,40}\bhere[.!]?$|(?:add|insert|enter|write|type|put|paste) (?:[a-z]+ ){0,2}(?:text|copy|content|headline|title|description|paragraph|caption|quote|summary|article|image|details) here[.!]?$|(?:your|the|body|main) (?:[a-z]+ ){0,2}(?:text|copy|content|headline|title|description|paragraph|caption|summary|details) (?:goes|comes|will go) here|lorem ipsum[.!…]*$|(?:text|inhalt|beschreibung) folgt[.!…]*$|(?:contenido|contenu|conteúdo|inhalt) (?:de ejemplo|de muestra|d['’]exemple|de exemplo|de teste)|(?:todo|tbd|fixme)\s*[:\-–—]|(?:todo|tbd|fixme)[.!]?$|(?:content|text|description|article|copy|summary|details) (?:is )?(?:coming soon|to be (?:added|written|supplied|provided|determined|announced))|(?:body|intro|main|lead|article) (?:text|copy|content) (?:to be|will be|is to be)|(?:placeholder|dummy|sample|filler) (?:text|copy|content|paragraph)\b[^.!?]{0,40}[.!]?$|(?:sample|dummy|placeholder|filler|example) (?:text|copy|content|paragraph|sentence)s?\b(?: here| goes here)?[.,:!]?(?:$|\s*(?:do not|to be|replace|here|only|please))|(?:your|body|my|main|more|the) (?:text|copy|content|headline|title|paragraph)s? (?:goes|comes|will go|to be added|to go) here|(?:body|draft|headline|final|more|text|main)? ?(?:copy|text|content) to (?:follow|come)\b|some text, some more text"
     r"|(?:replace|overwrite|edit|delete) (?:this|the) (?:paragraph|text|sentence|content|copy|line)\b|(?:insert|add|enter|type|write|put) (?:your|some|the|body) (?:text|copy|content)\b[^.]{0,20}(?:here|$)|paragraph placeholder|text placeholder|placeholder(?: only)?[.,!]?$|this is (?:a )?(?:placeholder|dummy|sample|filler)\b|lorem ipsum dolor"
     r"|hier (?:steht|kommt|folgt|entsteht)\b[^.]{0,30}\b(?:text|inhalt)|(?:dies(?:er)? (?:ist )?(?:nur )?(?:ein )?)?(?:blindtext|platzhalter(?:text)?|beispieltext|mustertext|dummytext)\b"
     r"|texto (?:de (?:ejemplo|relleno|prueba|muestra)|provisional)|(?:aquí|acá) (?:va|irá|viene) (?:el|su|tu|un) (?:texto|contenido)|(?:escriba|escribe|inserte|ponga) (?:aquí|su|el|tu) |texto (?:provisório|de (?:exemplo|teste|preenchimento))|aqui (?:vai|vem|entra) (?:o|seu|um) (?:texto|conteúdo)|(?:insira|escreva|digite) (?:aqui|o|seu) "
@@ -108,14 +170,14 @@ _SCRIPT_HINTS = ("javascript", "java script", "scripts", "script ", "cookies", "
 _FILLER_HINTS = (
     "text", "copy to", "copy goes", "content", "paragraph", "placeholder", "dummy", "filler", "goes here", "comes here", "lorem", "ipsum", "amet", "nostrud", "rhoncus", "congue", "tellus", "lectus", "mollit", "sagittis", "fugiat", "pretium", "varius", "mattis",
     "test test", "blah", "asdf", "qwer", "foo bar", "foo foo", "hjkl", "xxx", "sample", "platzhalter", "muster", "contenido", "conteúdo", "contenu", "insira", "escriba", "inserte",
+    "todo", "tbd", "fixme", "coming soon", "to be ", " here", "description",
     "ダミー", "サンプル", "テキスト", "ここに", "仮の", "文字", "文本", "內容", "内容", "正文", "內文", "待補", "待补", "待填", "在此", "於此",
 )
-_PLACEHOLDER_HINTS = ("{", "<%", "<<", "<!--", "s here", "[[", "[insert", "[add", "[enter", "[your", "@@", "__", "%(", "«", "【", "(add ", "(insert ", "(enter ", "(fill in ", "xxxx", "[object")
+_PLACEHOLDER_HINTS = ("{", "<%", "<<", "<!--", "<your", "<insert", "<enter", "<add", "<company", "<first", "<last", "<user", "s here", "[[", "[insert", "[add", "[enter", "[your", "@@", "__", "%(", "«", "【", "(add ", "(insert ", "(enter ", "(fill in ", "xxxx", "[object")
 _ROUND_MARKS = re.compile(r"#[A-Za-z][A-Za-z0-9_.]+#|%[A-Za-z][A-Za-z0-9_.]+%")
 _VALUE_HINTS = ("NaN", "undefined", "Invalid Date", "null", "None", "TBD")
 _STATUS = re.compile(r"\b[45]\d\d\b")
 _MARKUP = re.compile(r"</?[A-Za-z][^<>\n]{0,200}>")
-_FIRST_KANA_HAN = re.compile("[぀-ヿ㐀-鿿]")
 
 
 def _repeated(sentence: str) -> bool:
@@ -165,23 +227,30 @@ def evidence(text: str, boilerplate: frozenset[int] = frozenset()) -> str | None
         text = rest
     low = text.lower()
     errors = [h for h in _ERROR_HINTS if h in low]
+    built = [h for h in _BUILT_HINTS if h in low]
     numbered = bool(_STATUS.search(text))
     scripts = [h for h in _SCRIPT_HINTS if h in low]
     fillers = [h for h in _FILLER_HINTS if h in low]
     marks = any(h in low for h in _PLACEHOLDER_HINTS) or bool(_ROUND_MARKS.search(text))
     values = any(h in text for h in _VALUE_HINTS)
     wide = not text.isascii() and bool(_FIRST_KANA_HAN.search(text))
-    if not (errors or numbered or scripts or fillers or marks or values or wide):
+    if not (errors or built or numbered or scripts or fillers or marks or values or wide):
         return None
     bare = _QUOTED.sub(" ", _CODE.sub("\n", text))
     if marks and PLACEHOLDER.search(bare) or values and FAILED_VALUE.search(bare):
         return "placeholder"
-    if not (errors or numbered or scripts or fillers or wide):
+    if not (errors or built or numbered or scripts or fillers or wide):
         return None
+    if errors or built or scripts or numbered or wide:
+        for line in bare.splitlines():
+            if len(line) <= NOTICE_LINE and (found := _notice(_BULLET.sub("", _MARKUP.sub(" ", line).strip()))):
+                return found
     for sentence in _sentences(bare):
         small = sentence.lower()
         if (numbered and _STATUS.search(small[:24]) or any(h in small for h in errors)) and ERROR_PAGE.match(small):
             return "error"
+        if built and any(h in small for h in built) and BUILT_ERROR.match(small):
+            return "error"
         if scripts and any(h in small for h in scripts) and SCRIPTS.match(small):
             return "script"
         if fillers and any(h in small for h in fillers) and _filler(small):

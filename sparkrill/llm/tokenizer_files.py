@@ -4,7 +4,7 @@ from __future__ import annotations
 
 import os
 
-from pyspark import SparkFiles
+from pyspark import SparkContext, SparkFiles
 from pyspark.sql import SparkSession
 
 TOKENIZERS = "/opt/tokenizers"
@@ -20,6 +20,7 @@ def ranks_of(folder: str = TOKENIZERS, name: str = BYTE_BPE) -> dict[bytes, int]
     """Token bytes to rank, from the shipped file or else the folder."""
     import base64
 
-    shipped = SparkFiles.get(name)
+    # Without a session there are no shipped files.
+    shipped = SparkFiles.get(name) if SparkContext._active_spark_context or SparkFiles._is_running_on_worker else ""
     with open(shipped if os.path.exists(shipped) else f"{folder}/{name}", "rb") as lines:
         return {base64.b64decode(token): int(rank) for token, rank in map(bytes.split, lines)}
