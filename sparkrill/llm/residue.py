@@ -11,7 +11,9 @@ from __future__ import annotations
 
 import re
 from collections.abc import Iterator
+from functools import lru_cache
 
+import ahocorasick
 import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
@@ -21,7 +23,7 @@ from sparkrill.storage import written
 
 HOST_SHARE = 0.5  # of a host's documents that have a line, for boilerplate
 HOST_COUNT = 10  # and documents that have it at least: of fewer, nothing can be called recurrent
-NOTICE_LINE = 200  # characters: a line of at most 16 words of notices is no longer
+NOTICE_LINE = 160  # characters: 16 words of notices are not longer
 BARE = 0.9  # of the letters of a page that is nothing but recurrent lines
 FEW_LINES = 500_000  # recurrent lines of all hosts together that are given to all tasks
 LOREM_WORDS = 3
@@ -97,6 +99,7 @@ GLUE = frozenset(
     "the this that a an your our you we to of for on in at by from with and or but is are was were has have had been be it its it's something something's looks look like seems please again later try could can cannot can't couldn't not no isn't aren't doesn't don't does do properly temporarily currently permanently remote status code security must allow enable enabled allowing view content continue kindly turn off back click here go home oops sorry log out need needs requires works best when there too many http https nginx apache cloudflare requested internal all "
     "la el los las un una ha han ocurrido solicitada fue por favor se no está de en para su necesita temporariamente o os as uma não foi solicitado le les une des est pas sont votre pour nicht wurde die der das ein eine ist es ihre ihr angeforderte leider konnte im um zu funcionar mostrar activez aktivieren sie bitte".split()
 )
+VOCABULARY = THINGS | STATES | GLUE
 _CJK_NOTICE = re.compile(
     "無法|无法|不能|訪問|访问|連線|连接|連接|發生|发生|出現|出现|錯誤|错误|此|該|该|您|你|的|網站|网站|網頁|网页|頁面|页面|本|已|被|刪除|删除|移除|找不到|要|不存在|伺服器|服务器|系統|系统|請|请|稍後|稍后|再試|再试|重試|重试|需要|需|必須|必须|啟用|启用|開啟|开启|才能|瀏覽|浏览|逾時|超时|權限|权限|沒有|没有|維護|维护|中"
     "|この|サイト|ページ|サーバー?|に|が|は|を|の|で|アクセス|接続|できません|でした|見つかりません|存在しません|エラー|発生しました|ブラウザ|有効|オン|して|ください|必要です|メンテナンス|表示|再度|お試し|後|javascript|[0-9]+|[ \t　。，、,.!！:：()（）-]"
@@ -110,17 +113,20 @@ _PARTS = re.compile(r"[^\W\d_]+(?:['’][^\W\d_]+)?|\d+")
 def _notice(line: str) -> str | None:
     """script or error for a line that is built of the words of notices alone."""
     low = line.lower().replace("’", "'")
-    scripts = "script" in low or "cookies" in low
     if _FIRST_KANA_HAN.search(low):
-        bare = _CJK_NOTICE.sub("", low)
-        return ("script" if scripts else "error") if not bare and _CJK_STATE.search(low) and _CJK_THING.search(low) else None
+        if not (_CJK_STATE.search(low) and _CJK_THING.search(low)) or _CJK_NOTICE.sub("", low):
+            return None
+        return "script" if "script" in low or "cookies" in low else "error"
+    first = _PARTS.search(low)
+    if not first or not (first[0] in VOCABULARY or first[0].isdigit()):
+        return None
     words = _PARTS.findall(low)
-    if not 2 <= len(words) <= 16:
+    if not 2 <= len(words) <= 16 or not all(w in VOCABULARY or w.isdigit() for w in words):
         return None
+    scripts = "script" in low or "cookies" in low
     things = sum(w in THINGS for w in words)
     states = sum(w in STATES or len(w) == 3 and w[0] in "45" and w.isdigit() for w in words)
-    known = things + states + sum(w in GLUE or w.isdigit() and not (len(w) == 3 and w[0] in "45") for w in words)
-    if known < len(words) or not (things and states or states > 1 or scripts and things > 0 and "enable" in low):
+    if not (things and states or states > 1 or scripts and things and "enable" in low):
         return None
     return "script" if scripts else "error"
 
@@ -206,6 +212,20 @@ def _sentences(bare: str) -> Iterator[str]:
                     yield sentence
 
 
+@lru_cache(maxsize=1)
+def _hints() -> ahocorasick.Automaton:
+    """All hints in one automaton: a text is read once for them."""
+    kinds: dict[str, int] = {}
+    for k, hints in enumerate((_ERROR_HINTS, _BUILT_HINTS, _SCRIPT_HINTS, _FILLER_HINTS, _PLACEHOLDER_HINTS)):
+        for h in hints:
+            kinds[h] = kinds.get(h, 0) | 1 << k
+    found = ahocorasick.Automaton()
+    for h, bits in kinds.items():
+        found.add_word(h, (bits, h))
+    found.make_automaton()
+    return found
+
+
 def _bare_page(text: str) -> str | None:
     """The kind of residue of a page that is nothing but its host's recurrent lines: if such lines make up BARE of it."""
     lines = [(sum(map(str.isalpha, line)), evidence(line)) for line in text.split("\n") if line.strip()]
@@ -226,12 +246,10 @@ def evidence(text: str, boilerplate: frozenset[int] = frozenset()) -> str | None
             return _bare_page(text)
         text = rest
     low = text.lower()
-    errors = [h for h in _ERROR_HINTS if h in low]
-    built = [h for h in _BUILT_HINTS if h in low]
     numbered = bool(_STATUS.search(text))
-    scripts = [h for h in _SCRIPT_HINTS if h in low]
-    fillers = [h for h in _FILLER_HINTS if h in low]
-    marks = any(h in low for h in _PLACEHOLDER_HINTS) or bool(_ROUND_MARKS.search(text))
+    met = {hint for _, hint in _hints().iter(low)}
+    errors, built, scripts, fillers = ([h for kinds, h in met if kinds & kind] for kind in (1, 2, 4, 8))
+    marks = any(kinds & 16 for kinds, _ in met) or bool(_ROUND_MARKS.search(text))
     values = any(h in text for h in _VALUE_HINTS)
     wide = not text.isascii() and bool(_FIRST_KANA_HAN.search(text))
     if not (errors or built or numbered or scripts or fillers or marks or values or wide):
@@ -243,8 +261,11 @@ def evidence(text: str, boilerplate: frozenset[int] = frozenset()) -> str | None
         return None
     if errors or built or scripts or numbered or wide:
         for line in bare.splitlines():
-            if len(line) <= NOTICE_LINE and (found := _notice(_BULLET.sub("", _MARKUP.sub(" ", line).strip()))):
-                return found
+            if 4 <= len(line) <= NOTICE_LINE:
+                if "<" in line:
+                    line = _MARKUP.sub(" ", line)
+                if found := _notice(_BULLET.sub("", line.strip())):
+                    return found
     for sentence in _sentences(bare):
         small = sentence.lower()
         if (numbered and _STATUS.search(small[:24]) or any(h in small for h in errors)) and ERROR_PAGE.match(small):
