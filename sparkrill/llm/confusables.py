@@ -151,7 +151,8 @@ def fields_of(rows: DataFrame, id_col: str, fields: list[str]) -> DataFrame:
 
 def may_differ(text: Column) -> Column:
     """False only for texts that surely are in their consistent form; decided in the JVM."""
-    return text.rlike(PLAIN_JAVA)
+    # A text of ASCII alone has as many bytes as characters.
+    return (F.octet_length(text) != F.length(text)) & text.rlike(PLAIN_JAVA)
 
 
 def consistent_texts(texts: DataFrame, with_skeleton: bool = True) -> DataFrame:
