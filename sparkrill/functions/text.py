@@ -66,11 +66,15 @@ def collapse(text: Column) -> Column:
 
 
 @F.pandas_udf(StringType())
-def unescape_html(texts: pd.Series) -> pd.Series:
-    """HTML entities as characters; no built-in does this."""
+def _unescaped(texts: pd.Series) -> pd.Series:
     import html
 
-    return texts.map(lambda t: html.unescape(t) if t is not None and "&" in t else t)
+    return texts.map(lambda t: None if t is None else html.unescape(t))
+
+
+def unescape_html(text: Column) -> Column:
+    """HTML entities as characters; no built-in does this, but only texts with an ampersand travel to Python."""
+    return F.coalesce(_unescaped(F.when(text.contains("&"), text)), text)
 
 
 def strip_tags(text: Column) -> Column:

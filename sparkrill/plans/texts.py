@@ -12,6 +12,7 @@ from sparkrill.operators import duplicates as dup
 from sparkrill.operators.quality import scored
 from sparkrill.operators.trending import trending
 from sparkrill.plans import base
+from sparkrill.plans.quality_sql import DQ_SCORES
 from sparkrill.storage import spread, written
 from sparkrill.tables import table
 
@@ -188,7 +189,7 @@ QUERIES = {
     "ai_related": (ai_related, AI_RELATED),
     "canonical_url": (canonical_url, CANONICAL_URL),
     "url_duplicate_groups": (url_groups, f"WITH {_CANONICAL} SELECT canonical, count(*) AS n, min(id) AS first_id FROM canonical GROUP BY canonical HAVING count(*) > 1"),
-    "dq_score_flags": (dq_flags, None),
+    "dq_score_flags": (dq_flags, DQ_SCORES),
     "title_jaccard_pairs": (title_pairs, TITLE_PAIRS),
     "simhash_title_pairs": (simhash_pairs, None),
     "near_dup_clusters": (near_dup_clusters, NEAR_DUP_CLUSTERS),
