@@ -28,6 +28,8 @@ def _count(text: str, java: str) -> str:
 
 
 def _ascii(text: str) -> str:
+    # These letters are ASCII ones in another case.
+    text = f"translate({text}, '\u0131\u0130\u017f\u212a', 'iisk')"
     return rf"regexp_replace(regexp_replace(regexp_replace({text}, '[{_BLANK}]', ' ', 'g'), '[^\x00-\x7f{_WORD}]', '!', 'g'), '[^\x00-\x7f]', '_', 'g')"
 
 

@@ -81,6 +81,19 @@ def mmr_select(spark: SparkSession, d: str) -> DataFrame:
     return V.mmr(_vectors(spark, d), "label", 5)
 
 
+def _mmr_sql(k: int, weight: float = 0.7) -> str:
+    """The steps as one chain of tables: rows left with their closest chosen one, and the best of each label."""
+    steps = ["r1 AS (SELECT e.id, e.label, e.v, list_cosine_similarity(e.v, c.centroid) AS relevance, CAST(0 AS DOUBLE) AS closest FROM e JOIN cen c ON c.label = e.label)"]
+    for n in range(1, k + 1):
+        score = f"round({weight} * relevance - {1 - weight} * closest, 9)" if n > 1 else "round(relevance, 9)"
+        steps.append(f"b{n} AS (SELECT label, arg_max(id, ({score}, -id)) AS chosen, arg_max(v, ({score}, -id)) AS w FROM r{n} GROUP BY label)")
+        near = "greatest(closest, list_cosine_similarity(r.v, b.w))" if n > 1 else "list_cosine_similarity(r.v, b.w)"
+        steps.append(f"r{n + 1} AS (SELECT r.id, r.label, r.v, r.relevance, {near} AS closest FROM r{n} r JOIN b{n} b ON b.label = r.label WHERE r.id <> b.chosen)")
+    found = " UNION ALL ".join(f"SELECT label, {n} AS place, chosen AS id FROM b{n}" for n in range(1, k + 1))
+    centre = "cells AS (SELECT label, unnest(v) AS x, generate_subscripts(v, 1) AS pos FROM e), cen AS (SELECT label, list(m ORDER BY pos) AS centroid FROM (SELECT label, pos, avg(x) AS m FROM cells GROUP BY 1, 2) GROUP BY label)"
+    return f"WITH {_E}, {centre}, {', '.join(steps)} {found}"
+
+
 def _sentences(spark: SparkSession, d: str) -> DataFrame:
     """(post_id, pos, sentence, theme) of the gated posts with a theme."""
     posts = base.gated(spark, d).select("id", "content").join(base.themes(spark, d).select(F.col("post_id").alias("id"), base.theme_name().alias("theme")), "id")
@@ -110,7 +123,7 @@ QUERIES = {
     "centroids": (centroids, CENTROIDS),
     "threshold_clusters": (threshold_clusters, f"WITH RECURSIVE {_CLUSTERS} SELECT id, cluster FROM clusters"),
     "cluster_representatives": (cluster_representatives, REPRESENTATIVES),
-    "mmr_select": (mmr_select, None),
+    "mmr_select": (mmr_select, _mmr_sql(5)),
     "key_sentences": (key_sentences, None),
     "faithfulness_score": (faithfulness, None),
 }
