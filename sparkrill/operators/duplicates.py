@@ -20,7 +20,9 @@ SOURCE_RANK = {"lobsters": 0, "hackernews": 1, "devto": 2, "reddit": 3, "threads
 def url_edges(posts: DataFrame) -> DataFrame:
     """(a, b): each post with the smallest id of its canonical address; a star, so a popular address makes no pairs."""
     named = posts.select("id", canonical_url(F.col("url")).alias("key")).filter("key is not null")
-    return named.join(named.groupBy("key").agg(F.min("id").alias("a")), "key").filter("id <> a").select("a", F.col("id").alias("b"))
+    # Only addresses of several posts take part: few rows, which are broadcast where they are small, and no address is sorted whole.
+    shared = named.groupBy("key").agg(F.min("id").alias("a"), F.count("*").alias("n")).filter("n > 1").select("key", "a")
+    return named.join(shared, "key").filter("id <> a").select("a", F.col("id").alias("b"))
 
 
 def title_classes(posts: DataFrame, min_tokens: int = MIN_TOKENS) -> DataFrame:

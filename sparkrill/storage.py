@@ -62,6 +62,12 @@ def _filesystem(spark: SparkSession, path: str) -> tuple[object, object]:
     return target.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration()), target
 
 
+def qualified(spark: SparkSession, path: str) -> str:
+    """path with the scheme and host of its file system, so that readers outside Spark find the same place."""
+    filesystem, target = _filesystem(spark, path)
+    return filesystem.makeQualified(target).toString().replace("file:/", "file:///", 1).replace("file://///", "file:///", 1)
+
+
 def drop_folder(spark: SparkSession, path: str) -> None:
     """Deletes a folder; one that isn't there is no error."""
     filesystem, target = _filesystem(spark, path)
