@@ -7,6 +7,7 @@ from pyspark.sql import functions as F
 
 from sparkrill.operators import evaluation as E
 from sparkrill.operators.ranking import globally_ranked
+from sparkrill.operators.summaries import fitted_temperature
 from sparkrill.plans import base
 from sparkrill.storage import new_folder, written
 from sparkrill.tables import table
@@ -225,6 +226,22 @@ SELECT round(flat.ece, 9) AS ece, round(even.ece, 9) AS ece_adaptive, CASE WHEN
 """
 
 
+def temperature(spark: SparkSession, d: str) -> DataFrame:
+    """The temperature that calibrates the stored probabilities best on the labels, one row."""
+    names = list(PROBABILITIES)
+    logits = F.array(*[F.ln(F.greatest(F.col(p), F.lit(1e-6))) for p in PROBABILITIES.values()])
+    label = F.coalesce(*[F.when(F.col("truth") == n, F.lit(k)) for k, n in enumerate(names)])
+    rows = written(labelled(spark, d).filter(F.col("truth").isin(*names) & F.col("p_positive").isNotNull()).select(logits.alias("logits"), label.alias("label")), "logits")
+    return spark.createDataFrame([(round(fitted_temperature(rows, "logits", "label"), 1),)], "temperature double")
+
+
+TEMPERATURE = f"""
+WITH {_L}, z AS (SELECT [ln(greatest(p_positive, 1e-6)), ln(greatest(p_neutral, 1e-6)), ln(greatest(p_negative, 1e-6))] AS z, CASE truth WHEN 'positive' THEN 1 WHEN 'neutral' THEN 2 WHEN 'negative' THEN 3 END AS y FROM l WHERE truth IN ('positive', 'neutral', 'negative') AND p_positive IS NOT NULL),
+g AS (SELECT exp(ln(0.05) + range * (ln(20) - ln(0.05)) / 4000) AS t FROM range(4001)), s AS (SELECT t, avg(ln(exp((z[1] - list_max(z)) / t) + exp((z[2] - list_max(z)) / t) + exp((z[3] - list_max(z)) / t)) + (list_max(z) - z[y]) / t) AS loss FROM z CROSS JOIN g GROUP BY t)
+SELECT round(arg_min(t, loss), 1) AS temperature FROM s
+"""
+
+
 def candidates(spark: SparkSession, d: str) -> dict[str, DataFrame]:
     """Predictions (post_id, truth, pred) of each candidate: the two classifiers, and one that always says neutral."""
     rows = labelled(spark, d)
@@ -308,6 +325,7 @@ QUERIES = {
     "f1_delta_ci": (f1_delta_ci, F1_DELTA),
     "mean_delta_ci": (mean_delta_ci, MEAN_DELTA),
     "calibration_bundle": (calibration_bundle, CALIBRATION),
+    "temperature": (temperature, TEMPERATURE),
     "bakeoff_ranking": (bakeoff_ranking, _bakeoff_sql()),
     "evaluation_runs": (evaluation_runs, _runs_sql()),
     "win_rate": (win_rate, WIN_RATE),
