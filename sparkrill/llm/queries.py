@@ -57,8 +57,9 @@ def p5_splits(spark: SparkSession, d: str) -> DataFrame:
 def p5_shares(spark: SparkSession, d: str) -> DataFrame:
     """The shares reached, beside the targets."""
     reached = p5_splits(spark, d).groupBy("split").agg(F.count("*").alias("n_posts"), F.countDistinct("account").alias("n_accounts"))
-    total = table(spark, d, "posts").agg(F.count("*").alias("n"))
-    return table(spark, d, "split_targets").join(reached, "split", "left").crossJoin(total).select("split", "share", F.coalesce("n_posts", F.lit(0)).alias("n_posts"), F.coalesce("n_accounts", F.lit(0)).alias("n_accounts"), (F.coalesce("n_posts", F.lit(0)) / F.col("n")).alias("reached"))
+    total = F.nullif(F.lit(table(spark, d, "posts").count()), F.lit(0))
+    posts, accounts = F.coalesce("n_posts", F.lit(0)), F.coalesce("n_accounts", F.lit(0))
+    return table(spark, d, "split_targets").join(reached, "split", "left").select("split", "share", posts.alias("n_posts"), accounts.alias("n_accounts"), (posts / total).alias("reached"))
 
 
 def p6_found(spark: SparkSession, d: str) -> DataFrame:
