@@ -226,8 +226,8 @@ def cut_texts(texts: DataFrame) -> DataFrame:
     seen = asked_rows.join(counts, "context").filter(F.col("ends") + F.col("goes_on") >= SUPPORT)
     plain, masked = F.col("kind") < len(CONTEXTS), F.col("kind") >= len(CONTEXTS)
     share = F.col("ends") / (F.col("ends") + F.col("goes_on"))
-    best = seen.groupBy("tbl", "id", "round").agg(F.min(F.when(plain, F.col("kind"))).alias("kind"), F.min_by(F.when(plain, share), F.when(plain, F.col("kind"))).alias("share"), F.min_by(F.when(masked, share), F.when(masked, F.col("kind"))).alias("masked"))
-    phrases = unsure.filter("phrase is not null and before is not null").groupBy("phrase", "before").agg(F.count("*").alias("n")).groupBy("phrase").agg(F.sum("n").alias("n"), F.count("*").alias("different")).filter((F.col("n") >= RECURRING) & (F.col("different") >= 3)).select("phrase", F.lit(True).alias("closing"))
+    best = seen.groupBy("tbl", "id", "round").agg(F.min(F.when(plain, F.col("kind"))).alias("kind"), F.min_by(F.when(plain, share), F.when(plain, F.col("kind"))).alias("share"), F.min_by(F.when(plain, F.col("ends") + F.col("goes_on")), F.when(plain, F.col("kind"))).alias("seen"), F.min_by(F.when(masked, share), F.when(masked, F.col("kind"))).alias("masked"))
+    phrases = unsure.filter("phrase is not null and before is not null").groupBy("phrase", "before").agg(F.count("*").alias("n")).groupBy("phrase").agg(F.sum("n").alias("n"), F.count("*").alias("different")).filter((F.col("n") >= RECURRING) & (F.col("different") >= 3)).select("phrase", F.lit(True).alias("closing"), F.col("n").alias("closings"))
     limits = spikes(ends)
     at_chars = limits.filter("unit = 'chars'").select("tbl", "source", F.col("length").alias("chars"), F.lit(True).alias("full_chars"))
     at_bytes = limits.filter("unit = 'bytes'").select("tbl", "source", F.col("length").alias("bytes"), F.lit(True).alias("full_bytes"))
@@ -236,8 +236,9 @@ def cut_texts(texts: DataFrame) -> DataFrame:
     full = F.coalesce("full_chars", "full_bytes", F.lit(False))
     size_of = F.element_at(F.array(*[F.lit(n) for n in CONTEXTS]), F.col("kind") + 1)
     widest = F.element_at(F.array(*[F.lit(max(n for n in CONTEXTS if n <= k)) for k in range(1, 7)]), F.col("phrase_size"))
-    # A phrase that closes many texts and isn't itself known to go on.
-    closing = F.coalesce("closing", F.lit(False)) & (F.col("kind").isNull() | (size_of < widest))
+    # A phrase that closes many texts and isn't itself known to go on much more often: a greeting has no full stop to count as an end.
+    closed = (F.col("share") * F.col("seen") + F.col("closings")) / (F.col("seen") + F.col("closings"))
+    closing = F.coalesce("closing", F.lit(False)) & (F.col("kind").isNull() | (size_of < widest) | (F.col("masked").isNull() & (closed >= END_SHARE)))
     whole = F.col("phrase").isNotNull() & F.col("before").isNull()
     middle = (
         F.when(closing, F.lit(False))
