@@ -68,9 +68,9 @@ def ending(text: str) -> int:
     return LINKED if _TAG_OR_LINK.search(tail) else OPEN
 
 
-def _sentences(texts: list[str]) -> tuple[np.ndarray, np.ndarray, np.ndarray, np.ndarray]:
+def _sentences(texts: list[str]) -> tuple[np.ndarray, np.ndarray, np.ndarray, np.ndarray, np.ndarray]:
     """Token hashes; whether a sentence ends after each (the last token of a text without an end: False); whether the token
-    is the last of its text; and the token at which its sentence begins."""
+    is the last of its text; the token at which its sentence begins; and whether dots follow that may stand for an end or for what was cut."""
     fold, single = _tables()
     lengths = np.fromiter(map(len, texts), np.int64, len(texts)) + 1
     codes = np.frombuffer(("\n".join(texts) + "\n").encode("utf-32-le", "surrogatepass"), np.uint32)
@@ -82,7 +82,7 @@ def _sentences(texts: list[str]) -> tuple[np.ndarray, np.ndarray, np.ndarray, np
     starts = np.flatnonzero(begins | (inside & alone))
     none = np.zeros(0, np.int64)
     if not len(starts):
-        return np.zeros(0, np.uint64), none.astype(bool), none.astype(bool), none
+        return np.zeros(0, np.uint64), none.astype(bool), none.astype(bool), none, none.astype(bool)
     stops = np.append(starts[1:], len(codes))
     place = np.arange(starts[0], len(folded)) - np.repeat(starts, stops - starts)
     digit = (codes >= 48) & (codes <= 57)
@@ -101,7 +101,9 @@ def _sentences(texts: list[str]) -> tuple[np.ndarray, np.ndarray, np.ndarray, np
     ends = (before > 0) & (wide | (gaps >= 2) | last)
     opens = np.append(True, (ends | last)[:-1])
     begin = np.flatnonzero(opens)[np.cumsum(opens) - 1]
-    return hashes, ends, last, begin
+    dots = np.add.reduceat((codes == 46).astype(np.int64)[starts[0] :], starts - starts[0]) >= 3
+    dots |= np.add.reduceat(np.isin(codes, [0x2026, 0x2025, 0x22EF]).astype(np.int64)[starts[0] :], starts - starts[0]) > 0
+    return hashes, ends & ~dots, last, begin, dots
 
 
 def _contexts(hashes: np.ndarray, begin: np.ndarray) -> Iterator[tuple[int, np.ndarray, np.ndarray]]:
@@ -132,7 +134,7 @@ def _endings(texts: DataFrame) -> DataFrame:
             named = [False] * len(values)
             if at:
                 tails = [values[i][-TAIL:] for i in at]
-                hashes, _, last, begin = _sentences(tails)
+                hashes, _, last, begin, _ = _sentences(tails)
                 where = np.flatnonzero(last)
                 filled = [i for i, t in zip(at, tails) if _has_token(t)]
                 table = np.zeros((len(where), kinds), np.int64)
@@ -179,10 +181,10 @@ def _counts(texts: DataFrame, asked: bytes) -> DataFrame:
         for batch in batches:
             values = batch.column(0).to_pylist()
             for first in range(0, len(values), _STEP):
-                hashes, ends, last, begin = _sentences(values[first : first + _STEP])
+                hashes, ends, last, begin, dots = _sentences(values[first : first + _STEP])
                 found, ended = [], []
                 for _, has, value in _contexts(hashes, begin):
-                    ok = filled[_slot(value, len(filled))] & (ends[has] | ~last[has])
+                    ok = filled[_slot(value, len(filled))] & ~dots[has] & (ends[has] | ~last[has])
                     found.append(value[ok])
                     ended.append(ends[has][ok])
                 if found and len(all_found := np.concatenate(found)):
