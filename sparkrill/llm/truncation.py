@@ -29,7 +29,10 @@ SPIKE_FACTOR = 8.0  # times the mean count of the lengths around it
 SPIKE_REACH = 20
 CONTEXTS = (6, 4, 3, 2, 1)  # tokens of a context, the longest that is known decides
 MASKED = (3, 2)  # tokens before an unknown last token
+WORD = len(CONTEXTS) + len(MASKED)  # the kind that asks whether the last word is whole
+WHOLE_SHARE = 1 / 11  # of the words that begin with it: below, a word is taken for the beginning of another
 SUPPORT = 3
+SURE = 20  # times a context was seen, from which it outweighs the look of the last word
 END_SHARE = 0.1
 RECURRING = 5  # texts in which a closing phrase stands at least, after 3 different words
 TAIL = 400
@@ -106,6 +109,34 @@ def _sentences(texts: list[str]) -> tuple[np.ndarray, np.ndarray, np.ndarray, np
     return hashes, ends & ~dots, last, begin, dots
 
 
+def _beginnings(texts: list[str], filled: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    """All beginnings of words (runs of letters) of the texts that the filter asks for, as hashes, and whether each is a whole word. The
+    open last word of a text is left out, as it may be no whole one."""
+    fold, single = _tables()
+    lengths = np.fromiter(map(len, texts), np.int64, len(texts)) + 1
+    codes = np.frombuffer(("\n".join(texts) + "\n").encode("utf-32-le", "surrogatepass"), np.uint32)
+    folded = np.maximum(fold[codes], 0)
+    run = (folded > 0) & ~single[codes]
+    begins = run.copy()
+    begins[1:] &= ~run[:-1]
+    at = np.flatnonzero(run)
+    if not len(at):
+        return np.zeros(0, np.uint64), np.zeros(0, bool)
+    starts = np.flatnonzero(begins)
+    first = starts[np.cumsum(begins)[at] - 1]
+    place = at - first
+    powers = np.cumprod(np.full(min(int(place.max()) + 1, 4096), _MUL, np.uint64))
+    sums = np.cumsum(mixed(folded[at].astype(np.uint64)) * powers[place % len(powers)], dtype=np.uint64)
+    before = np.concatenate([[np.uint64(0)], sums])[np.searchsorted(at, first)]
+    hashes = mixed(mixed(sums - before) + np.uint64(WORD))
+    ends = np.append(at[1:] != at[:-1] + 1, True)
+    stops = np.cumsum(lengths) - 1
+    # The last word of a text that goes up to its end.
+    open_ = ends & np.isin(at + 1, stops)
+    wanted = filled[_slot(hashes, len(filled))] & ~open_
+    return hashes[wanted], ends[wanted]
+
+
 def _contexts(hashes: np.ndarray, begin: np.ndarray) -> Iterator[tuple[int, np.ndarray, np.ndarray]]:
     """For each kind of context: its number, the tokens that have one, and the context's hash there."""
     at = np.arange(len(hashes))
@@ -121,6 +152,7 @@ def _endings(texts: DataFrame) -> DataFrame:
     """(tbl, id, round, source, chars, bytes, how, named, contexts, phrase, before) of each text that isn't null or blank. Narrow."""
     schema = "tbl string, id bigint, round int, source string, chars int, bytes int, how int, named boolean, contexts array<bigint>, phrase bigint, phrase_size int, before bigint"
     kinds = len(CONTEXTS) + len(MASKED)
+    _, single = _tables()
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
@@ -145,6 +177,9 @@ def _endings(texts: DataFrame) -> DataFrame:
                     known[hit, kind] = True
                 for row, (i, w) in enumerate(zip(filled, where)):
                     contexts[i] = [int(v) if k else None for v, k in zip(table[row], known[row])]
+                    word = _LAST_WORD.search(values[i][-80:])
+                    letters = bool(word) and word.end() == len(values[i][-80:].rstrip()) and not single[ord(word[0][-1])] and not word[0][-1].isdigit()
+                    contexts[i].append(int(mixed(hashes[w : w + 1] + np.uint64(WORD))[0].view(np.int64)) if letters else None)
                     span = hashes[begin[w] : w + 1]
                     if len(span) <= 6:
                         phrase[i] = int(mixed(np.array([np.bitwise_xor.reduce(mixed(span + np.arange(len(span), dtype=np.uint64)))]))[0].view(np.int64))
@@ -152,7 +187,6 @@ def _endings(texts: DataFrame) -> DataFrame:
                         # Null: the phrase is the whole text.
                         inner = begin[w] > 0 and not last[begin[w] - 1]
                         before[i] = int(hashes[begin[w] - 1].view(np.int64)) if inner else None
-                    word = _LAST_WORD.search(values[i][-80:])
                     named[i] = bool(word) and word[0][0].isupper()
             columns = [batch.column(k) for k in range(4)]
             lengths = [pa.array([len(t) for t in values], pa.int32()), pa.array([len(t.encode("utf-8", "surrogatepass")) for t in values], pa.int32())]
@@ -187,6 +221,9 @@ def _counts(texts: DataFrame, asked: bytes) -> DataFrame:
                     ok = filled[_slot(value, len(filled))] & ~dots[has] & (ends[has] | ~last[has])
                     found.append(value[ok])
                     ended.append(ends[has][ok])
+                words, whole = _beginnings(values[first : first + _STEP], filled)
+                found.append(words)
+                ended.append(whole)
                 if found and len(all_found := np.concatenate(found)):
                     context, back = np.unique(all_found, return_inverse=True)
                     n = np.bincount(back)
@@ -226,9 +263,9 @@ def cut_texts(texts: DataFrame) -> DataFrame:
     slots = asked_rows.select(F.expr(f"cast(shiftrightunsigned(context, 20) & {size - 1} as int) AS slot"))
     counts = _counts(filled, marked(slots.repartition(8), size))
     seen = asked_rows.join(counts, "context").filter(F.col("ends") + F.col("goes_on") >= SUPPORT)
-    plain, masked = F.col("kind") < len(CONTEXTS), F.col("kind") >= len(CONTEXTS)
+    plain, masked = F.col("kind") < len(CONTEXTS), F.col("kind").between(len(CONTEXTS), WORD - 1)
     share = F.col("ends") / (F.col("ends") + F.col("goes_on"))
-    best = seen.groupBy("tbl", "id", "round").agg(F.min(F.when(plain, F.col("kind"))).alias("kind"), F.min_by(F.when(plain, share), F.when(plain, F.col("kind"))).alias("share"), F.min_by(F.when(plain, F.col("ends") + F.col("goes_on")), F.when(plain, F.col("kind"))).alias("seen"), F.min_by(F.when(masked, share), F.when(masked, F.col("kind"))).alias("masked"))
+    best = seen.groupBy("tbl", "id", "round").agg(F.min(F.when(plain, F.col("kind"))).alias("kind"), F.min_by(F.when(plain, share), F.when(plain, F.col("kind"))).alias("share"), F.min_by(F.when(plain, F.col("ends") + F.col("goes_on")), F.when(plain, F.col("kind"))).alias("seen"), F.min_by(F.when(masked, share), F.when(masked, F.col("kind"))).alias("masked"), F.max(F.when(F.col("kind") == WORD, share)).alias("whole"))
     phrases = unsure.filter("phrase is not null and before is not null").groupBy("phrase", "before").agg(F.count("*").alias("n")).groupBy("phrase").agg(F.sum("n").alias("n"), F.count("*").alias("different")).filter((F.col("n") >= RECURRING) & (F.col("different") >= 3)).select("phrase", F.lit(True).alias("closing"), F.col("n").alias("closings"))
     limits = spikes(ends)
     at_chars = limits.filter("unit = 'chars'").select("tbl", "source", F.col("length").alias("chars"), F.lit(True).alias("full_chars"))
@@ -241,15 +278,20 @@ def cut_texts(texts: DataFrame) -> DataFrame:
     # A phrase that closes many texts and isn't itself known to go on much more often: a greeting has no full stop to count as an end.
     closed = (F.col("share") * F.col("seen") + F.col("closings")) / (F.col("seen") + F.col("closings"))
     closing = F.coalesce("closing", F.lit(False)) & (F.col("kind").isNull() | (size_of < widest) | (F.col("masked").isNull() & (closed >= END_SHARE)))
-    whole = F.col("phrase").isNotNull() & F.col("before").isNull()
+    alone = F.col("phrase").isNotNull() & F.col("before").isNull()
+    # A beginning of a word that is hardly ever whole, unless the words before it are well known to end with it, or with some name where it is one.
+    known = F.coalesce(size_of > 1, F.lit(False)) & (F.col("share") >= END_SHARE)
+    fits = F.coalesce(F.col("masked") >= 0.5, F.lit(False)) & (F.col("named") | (known & (F.col("share") >= 0.5)))
+    begun = (F.col("whole") < WHOLE_SHARE) & ~(known & (F.col("seen") >= SURE)) & ~fits
     middle = (
         F.when(closing, F.lit(False))
+        .when(F.coalesce(begun, F.lit(False)), F.lit(True))
         # A name stands where other names do: the words before it tell more than the name alone.
         .when(F.col("masked").isNotNull() & F.col("named") & (F.col("kind").isNull() | (size_of == 1)), F.col("masked") < END_SHARE)
         .when(F.col("share").isNotNull(), F.col("share") < END_SHARE)
         .otherwise(F.lit(True))
     )
-    cut = F.when(F.col("how") == CUT, True).when(F.col("how") == OPEN, ~whole & (full | (F.col("contexts").isNotNull() & middle))).otherwise(F.lit(False))
+    cut = F.when(F.col("how") == CUT, True).when(F.col("how") == OPEN, ~alone & (full | (F.col("contexts").isNotNull() & middle))).otherwise(F.lit(False))
     return rows.select("tbl", "id", "round", "source", cut.alias("cut"))
 
 
