@@ -308,6 +308,24 @@ def test_truncated(spark):
     assert truncation.truncated(posts.filter("false"), gold.filter("false")).count() == 0
 
 
+def test_words_cut_in_the_middle_and_greetings(spark):
+    """A last word that begins many others and is hardly ever whole is cut, even where cut marks made it look like an end; a greeting and a whole word are ends."""
+    rng = random.Random(31)
+    subjects, verbs = ["editor", "maintainer", "student", "colleague"], ["reviews", "merges", "tests"]
+
+    def text(n):
+        return " ".join(f"The {rng.choice(subjects)} {rng.choice(verbs)} the {rng.choice(['document', 'documents', 'summary'])} with the {rng.choice(['manager', 'model', 'models'])}." for _ in range(n))
+
+    rows = [_post(k, text(rng.randrange(3, 8)), source="devto") for k in range(300)]
+    rows += [_post(400 + k, text(3) + rng.choice(["\ncheers", " cheers"]), source="devto") for k in range(30)] + [_post(430, "Cheers from the road, friends. " + text(2), source="devto")] * 3
+    rows += [_post(500 + k, text(2) + " Then the editor tests the docum...", source="devto") for k in range(4)]
+    rows += [_post(600, text(3) + " Then the student merges the docum", source="devto"), _post(601, text(3) + " The editor reviews the summary with the model", source="devto")]
+    posts = spark.createDataFrame(rows, POSTS).withColumn("title", F.lit("t"))
+    gold = spark.createDataFrame([], "post_id bigint, source string, round int, text string")
+    got = {r.post_id for r in truncation.truncated(posts, gold).collect()}
+    assert 600 in got and 601 not in got and not {k for k in got if k < 500}
+
+
 def test_languages(spark):
     posts, labels = table(spark, SMALL, "posts"), table(spark, SMALL, "post_langs")
     sample = langid.labelled_sample(posts, labels)
