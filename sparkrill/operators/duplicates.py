@@ -2,6 +2,8 @@
 
 from __future__ import annotations
 
+import itertools
+
 import pandas as pd
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import Window as W
@@ -13,6 +15,7 @@ from sparkrill.operators.components import components
 from sparkrill.storage import written
 
 SIMILARITY, MIN_TOKENS, MAX_HAMMING = 0.8, 4, 3
+DELETING = 32  # tokens of two sets together, up to which they may meet by what is left without two
 # Which source stays before which.
 SOURCE_RANK = {"lobsters": 0, "hackernews": 1, "devto": 2, "reddit": 3, "threads": 4}
 
@@ -31,20 +34,69 @@ def title_classes(posts: DataFrame, min_tokens: int = MIN_TOKENS) -> DataFrame:
     return sets.join(sets.groupBy("tokens").agg(F.min("id").alias("rep")), "tokens")
 
 
+def _set_keys(sets: DataFrame, similarity: float) -> DataFrame:
+    """(key, id, nr, bits): the keys that similar sets meet by; nr is twice the number of tokens, and one more where a key only looks for whole ones."""
+    share, eps = (1 - similarity) / (1 + similarity), 1e-9
+    first = next(s for s in itertools.count(1) if s > DELETING or int(s * share + eps) > 2)
+    n, zero = F.size("h"), F.lit(0).cast("bigint")
+
+    def xor(values: Column) -> Column:
+        return F.aggregate(values, zero, lambda x, y: x.bitwiseXOR(y))
+
+    def most(total: Column) -> Column:
+        """Tokens that may be in one set only, where the two have `total`."""
+        return F.floor(total * share + eps).cast("int")
+
+    def deleting(total: Column, least: int) -> Column:
+        return (total < first) & (most(total) >= least)
+
+    def rows(keys: Column, role: int, bits: Column = zero) -> Column:
+        return F.transform(keys, lambda k: F.struct(k.alias("key"), (n * 2 + role).alias("nr"), bits.alias("bits")))
+
+    def either(condition: Column, array: Column) -> Column:
+        return F.when(condition, array).otherwise(F.array().cast("array<struct<key:bigint,nr:int,bits:bigint>>"))
+
+    whole, h = F.col("whole"), F.col("h")
+    one = F.transform(h, lambda x: whole.bitwiseXOR(x))
+    two = F.flatten(F.transform(h, lambda x, i: F.transform(F.slice(h, i + 2, n), lambda y: whole.bitwiseXOR(x).bitwiseXOR(y))))
+    few = [
+        either(2 * n < first, rows(F.array(whole), 0)),
+        either(deleting(2 * n - 1, 1), rows(one, 1)),
+        either(deleting(2 * n - 2, 2), rows(two, 1)),
+        either(deleting(2 * n, 2), rows(F.transform(one, lambda k: F.xxhash64(k)), 0)),
+    ]
+    # Numbers of parts, each with the one before it: those that some size of the other set asks for.
+    steps = [1, *[x << k for k in range(18) for x in (2, 3)]]
+    low, high = F.greatest(n + F.ceil(n * similarity - eps).cast("int"), F.lit(first)), n + F.floor(n / similarity + eps).cast("int")
+    need = [F.floor(most(total) / 2).cast("int") + 1 for total in (low, high)]
+    counts = F.filter(F.array(*[F.struct(F.lit(x).alias("before"), F.lit(y).alias("parts")) for x, y in zip([0, *steps], steps)]), lambda s: (s["parts"] >= need[0]) & (s["before"] < need[1]))
+    split = F.flatten(F.transform(counts, lambda s: F.transform(F.sequence(F.lit(0), s["parts"] - 1), lambda q: F.struct(s["parts"].alias("parts"), q.alias("q")))))
+    inside = F.transform(split, lambda s: F.struct(s["parts"].alias("parts"), s["q"].alias("q"), F.filter(h, lambda x: F.pmod(F.shiftrightunsigned(x, 32), s["parts"]) == s["q"]).alias("h")))
+    bits = F.aggregate(h, zero, lambda x, y: x.bitwiseXOR(F.call_function("shiftleft", F.lit(1).cast("bigint"), y.bitwiseAND(F.lit(63).cast("bigint")).cast("int"))))
+
+    def named(key: Column, s: Column) -> Column:
+        return F.xxhash64(key, s["parts"], s["q"])
+
+    parts = F.concat(rows(F.transform(inside, lambda s: named(xor(s["h"]), s)), 0, bits), rows(F.flatten(F.transform(inside, lambda s: F.transform(s["h"], lambda x: named(xor(s["h"]).bitwiseXOR(x), s)))), 1, bits))
+    hashed = sets.filter(F.size("tokens") > 0).select("id", F.transform("tokens", lambda t: F.xxhash64(t)).alias("h")).select("id", "h", xor(F.col("h")).alias("whole"))
+    return hashed.select("id", F.explode(F.concat(*few, either(high >= first, parts))).alias("k")).select("k.key", "id", "k.nr", "k.bits")
+
+
 def similar_sets(sets: DataFrame, similarity: float = SIMILARITY) -> DataFrame:
     """(a, b, similarity), a < b, of the sets (id, tokens) with at least that Jaccard similarity. Exact.
 
-    Prefix filtering: tokens are ordered from rare to frequent, and two sets that are similar enough share one of the first
-    n - ceil(similarity * n) + 1 of each. Frequent tokens thus join nothing.
+    Of `total` tokens of two similar sets at most total * (1 - similarity) / (1 + similarity) are in one of them only. Where these are
+    at most two and the sets small, the sets meet by what is left without one or two tokens: only similar ones do. Where they are more, the
+    tokens are dealt by hash to half as many parts and one more, of which one is equal but for a token at most, and the sets meet by
+    the parts and by the parts without one token. Bits of all tokens, of which as many differ at most, then keep nearly all others out before
+    any pair is written. Keys grow with the tokens, however frequent a token is.
     """
-    tokens = sets.select("id", F.explode("tokens").alias("token"))
-    counts = tokens.groupBy("token").agg(F.count("*").alias("df"))
-    ordered = tokens.join(counts, "token").groupBy("id").agg(F.array_sort(F.collect_list(F.struct("df", "token"))).alias("order"))
-    n = F.size("order")
-    prefix = ordered.select("id", n.alias("n"), F.explode(F.slice("order", F.lit(1), (n - F.ceil(n * similarity - 1e-9) + 1).cast("int"))).alias("p")).select("id", "n", "p.token")
-    left, right = prefix.select(F.col("id").alias("a"), F.col("n").alias("na"), "token"), prefix.select(F.col("id").alias("b"), F.col("n").alias("nb"), "token")
-    fits = F.least("na", "nb") >= similarity * F.greatest("na", "nb") - 1e-9
-    pairs = left.join(right, "token").filter(F.col("a") < F.col("b")).filter(fits).select("a", "b").distinct()
+    keys = _set_keys(sets, similarity)
+    left = keys.filter("nr % 2 = 0").select("key", F.col("id").alias("x"), F.col("nr").alias("nx"), F.col("bits").alias("bx"))
+    right = keys.select("key", F.col("id").alias("y"), F.col("nr").alias("ny"), F.col("bits").alias("by"))
+    total = F.shiftright("nx", 1) + F.shiftright("ny", 1)
+    near = (F.col("x") != F.col("y")) & ((F.col("ny") % 2 == 1) | (F.col("x") < F.col("y"))) & (hamming(F.col("bx"), F.col("by")) <= total * ((1 - similarity) / (1 + similarity)) + 1e-9)
+    pairs = left.join(right, "key").filter(near).select(F.least("x", "y").alias("a"), F.greatest("x", "y").alias("b")).distinct()
     whole = sets.select("id", "tokens")
     joined = pairs.join(whole.select(F.col("id").alias("a"), F.col("tokens").alias("x")), "a").join(whole.select(F.col("id").alias("b"), F.col("tokens").alias("y")), "b")
     shared = F.size(F.array_intersect("x", "y"))

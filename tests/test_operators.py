@@ -130,6 +130,39 @@ def test_similar_sets(spark):
     assert got == want and want
 
 
+@pytest.mark.parametrize("similarity", [0.3, 0.8, 0.95])
+def test_similar_sets_of_all_sizes(spark, similarity):
+    rng = random.Random(3)
+    words = [f"w{k}" for k in range(60)]
+    sets = []
+    for size in [1, 2, 4, 5, 7, 8, 9, 10, 12, 13, 14, 17, 20, 26, 33, 45, 58] * 2:
+        first = rng.sample(words, size)
+        for _ in range(5):
+            some = set(first) ^ set(rng.sample(words, rng.randrange(0, 2 + size // 5)))
+            sets.append((len(sets), sorted(some)))
+    want = {(a, b) for a, x in sets for b, y in sets if a < b and x and y and len(set(x) & set(y)) / len(set(x) | set(y)) >= similarity}
+    got = [(r.a, r.b) for r in dup.similar_sets(spark.createDataFrame(sets, "id int, tokens array<string>"), similarity).collect()]
+    assert set(got) == want and len(got) == len(want) and want
+
+
+def test_similar_sets_of_few_words_write_few_rows(spark):
+    """Titles of one build share their words with hundreds of others; what is shuffled has to follow their tokens."""
+    rng = random.Random(4)
+    sets = {tuple(sorted({*"why is the so".split(), *(f"{c}{rng.randrange(12)}" for c in "xyz")})) for _ in range(2000)}
+    df = spark.createDataFrame([(k, list(x)) for k, x in enumerate(sorted(sets))], "id int, tokens array<string>")
+    context = spark.sparkContext
+    store, number = context._jsc.sc().statusStore(), context._jsc.sc().dagScheduler().nextStageId
+    before, limit = number(), spark.conf.get("spark.sql.autoBroadcastJoinThreshold")
+    spark.conf.set("spark.sql.autoBroadcastJoinThreshold", "-1")
+    try:
+        assert dup.similar_sets(df).count() == 0
+    finally:
+        spark.conf.set("spark.sql.autoBroadcastJoinThreshold", limit)
+    context._jsc.sc().listenerBus().waitUntilEmpty(30_000)
+    written = sum(store.lastStageAttempt(k).shuffleWriteRecords() for k in range(before, number()))
+    assert 0 < written < 4 * 7 * len(sets)
+
+
 def test_duplicates(spark):
     t = dt.datetime(2026, 1, 1)
     rows = [
