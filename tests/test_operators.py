@@ -163,6 +163,30 @@ def test_similar_sets_of_few_words_write_few_rows(spark):
     assert 0 < written < 4 * 7 * len(sets)
 
 
+@pytest.mark.parametrize("name", ["near_dup_clusters"])
+def test_flags_of_posts_of_few_words_write_few_rows(spark, tmp_path, name):
+    from sparkrill.plans import registry
+
+    rng, t = random.Random(5), dt.datetime(2026, 1, 1)
+    titles = sorted({" ".join(["why", "is", "the", "so", *(f"{c}{rng.randrange(12)}" for c in "xyz")]) for _ in range(2000)})
+    rows = [(k, "reddit", None, x, t, 0, 0, ["SEO"]) for k, x in enumerate([*titles, titles[0] + " indeed"])]
+    spark.createDataFrame(rows, "id bigint, source string, url string, title string, posted_at timestamp, score int, num_comments int, quality_flags array<string>").write.parquet(f"{tmp_path}/posts.parquet")
+    context = spark.sparkContext
+    store, number = context._jsc.sc().statusStore(), context._jsc.sc().dagScheduler().nextStageId
+    before, limit = number(), spark.conf.get("spark.sql.autoBroadcastJoinThreshold")
+    spark.conf.set("spark.sql.autoBroadcastJoinThreshold", "-1")
+    try:
+        got = {tuple(r) for r in registry.queries()[name](spark, str(tmp_path)).select("*").collect()}
+    finally:
+        spark.conf.set("spark.sql.autoBroadcastJoinThreshold", limit)
+    context._jsc.sc().listenerBus().waitUntilEmpty(30_000)
+    written = sum(store.lastStageAttempt(k).shuffleWriteRecords() for k in range(before, number()))
+    assert 0 < written < 60 * len(rows)
+    last = len(titles)
+    if name == "near_dup_clusters":
+        assert got == {(0, 0, 0), (last, 0, 0)}
+
+
 def test_duplicates(spark):
     t = dt.datetime(2026, 1, 1)
     rows = [
