@@ -399,3 +399,13 @@ def test_short_text_in_two_languages(spark):
     assert short.filter("length(content) >= 80").count() == 0
     got = {(r.post_id, r.lang) for r in langid.relabelled(posts.select("id", "content").unionByName(short), labels).filter("post_id < 0").collect()}
     assert got == {(-1, "zh-Hant"), (-1, "en")}
+
+
+def test_texts_of_signs_alone_are_texts(spark):
+    from sparkrill.llm.lsh_forest import same_text_pairs
+
+    signs = "".join(chr(0x1F600 + k * 7 % 60) for k in range(90))
+    other = "".join(chr(0x1F300 + k * 11 % 120) for k in range(90))
+    rows = [(1, signs), (2, signs), (3, signs[:40] + " " + signs[40:]), (4, other), (5, signs[:79]), (6, " " * 90), (7, " " * 90), (8, None), (9, "words of a text " * 9)]
+    got = {tuple(r) for r in same_text_pairs(spark.createDataFrame(rows, "id bigint, text string"), "id", "text").collect()}
+    assert got == {(1, 2), (1, 3), (2, 3)}
