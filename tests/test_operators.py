@@ -163,7 +163,7 @@ def test_similar_sets_of_few_words_write_few_rows(spark):
     assert 0 < written < 4 * 7 * len(sets)
 
 
-@pytest.mark.parametrize("name", ["near_dup_clusters", "duplicate_flags"])
+@pytest.mark.parametrize("name", ["near_dup_clusters", "duplicate_flags", "flags_written"])
 def test_flags_of_posts_of_few_words_write_few_rows(spark, tmp_path, name):
     from sparkrill.plans import registry
 
@@ -187,6 +187,8 @@ def test_flags_of_posts_of_few_words_write_few_rows(spark, tmp_path, name):
         assert sorted(got) == [(0, 0, 0), (last, 0, 0)]
     elif name == "duplicate_flags":
         assert {r[0]: r[1] for r in got} == {**{k: ["SEO"] for k in range(last)}, last: ["CANONICAL:0", "DUPLICATE", "SEO"]}
+    else:
+        assert got == [("reddit", 1)]
 
 
 def test_duplicates(spark):
