@@ -12,7 +12,7 @@ from pyspark.sql.types import LongType
 
 from sparkrill.functions.text import canonical_url, title_tokens
 from sparkrill.operators.components import components
-from sparkrill.storage import written
+from sparkrill.storage import drop_table, written
 
 SIMILARITY, MIN_TOKENS, MAX_HAMMING = 0.8, 4, 3
 DELETING = 32  # tokens of two sets together, up to which they may meet by what is left without two
@@ -34,8 +34,9 @@ def title_classes(posts: DataFrame, min_tokens: int = MIN_TOKENS) -> DataFrame:
     return sets.join(sets.groupBy("tokens").agg(F.min("id").alias("rep")), "tokens")
 
 
-def _set_keys(sets: DataFrame, similarity: float) -> DataFrame:
-    """(key, id, nr, bits): the keys that similar sets meet by; nr is twice the number of tokens, and one more where a key only looks for whole ones."""
+def _set_keys(sets: DataFrame, similarity: float, small: bool = True, large: bool = True) -> DataFrame:
+    """(key, id, nr, bits): the keys that similar sets meet by; nr is twice the number of tokens, and one more where a key only looks for whole ones.
+    small: those by what is left; large: those by parts."""
     share, eps = (1 - similarity) / (1 + similarity), 1e-9
     first = next(s for s in itertools.count(1) if s > DELETING or int(s * share + eps) > 2)
     n, zero = F.size("h"), F.lit(0).cast("bigint")
@@ -79,7 +80,7 @@ def _set_keys(sets: DataFrame, similarity: float) -> DataFrame:
 
     parts = F.concat(rows(F.transform(inside, lambda s: named(xor(s["h"]), s)), 0, bits), rows(F.flatten(F.transform(inside, lambda s: F.transform(s["h"], lambda x: named(xor(s["h"]).bitwiseXOR(x), s)))), 1, bits))
     hashed = sets.filter(F.size("tokens") > 0).select("id", F.transform("tokens", lambda t: F.xxhash64(t)).alias("h")).select("id", "h", xor(F.col("h")).alias("whole"))
-    return hashed.select("id", F.explode(F.concat(*few, either(high >= first, parts))).alias("k")).select("k.key", "id", "k.nr", "k.bits")
+    return hashed.select("id", F.explode(F.concat(*few * small, *[either(high >= first, parts)] * large)).alias("k")).select("k.key", "id", "k.nr", "k.bits")
 
 
 def similar_sets(sets: DataFrame, similarity: float = SIMILARITY) -> DataFrame:
@@ -91,22 +92,51 @@ def similar_sets(sets: DataFrame, similarity: float = SIMILARITY) -> DataFrame:
     the parts and by the parts without one token. Bits of all tokens, of which as many differ at most, then keep nearly all others out before
     any pair is written. Keys grow with the tokens, however frequent a token is.
     """
-    keys = _set_keys(sets, similarity)
+    return _compared(_meeting(_set_keys(sets, similarity), similarity), sets).filter(F.col("similarity") >= similarity)
+
+
+def _meeting(keys: DataFrame, similarity: float) -> DataFrame:
+    """(a, b), a < b, of the sets that meet by keys and may be similar by their bits."""
     left = keys.filter("nr % 2 = 0").select("key", F.col("id").alias("x"), F.col("nr").alias("nx"), F.col("bits").alias("bx"))
     right = keys.select("key", F.col("id").alias("y"), F.col("nr").alias("ny"), F.col("bits").alias("by"))
     total = F.shiftright("nx", 1) + F.shiftright("ny", 1)
     near = (F.col("x") != F.col("y")) & ((F.col("ny") % 2 == 1) | (F.col("x") < F.col("y"))) & (hamming(F.col("bx"), F.col("by")) <= total * ((1 - similarity) / (1 + similarity)) + 1e-9)
-    pairs = left.join(right, "key").filter(near).select(F.least("x", "y").alias("a"), F.greatest("x", "y").alias("b")).distinct()
-    whole = sets.select("id", "tokens")
+    return left.join(right, "key").filter(near).select(F.least("x", "y").alias("a"), F.greatest("x", "y").alias("b")).distinct()
+
+
+def _compared(pairs: DataFrame, sets: DataFrame) -> DataFrame:
+    """pairs (a, b and more) of sets with their similarity."""
+    whole, more = sets.select("id", "tokens"), [c for c in pairs.columns if c not in ("a", "b")]
     joined = pairs.join(whole.select(F.col("id").alias("a"), F.col("tokens").alias("x")), "a").join(whole.select(F.col("id").alias("b"), F.col("tokens").alias("y")), "b")
     shared = F.size(F.array_intersect("x", "y"))
-    return joined.select("a", "b", (shared / (F.size("x") + F.size("y") - shared)).alias("similarity")).filter(F.col("similarity") >= similarity)
+    return joined.select("a", "b", *more, (shared / (F.size("x") + F.size("y") - shared)).alias("similarity"))
+
+
+def linked_sets(sets: DataFrame, similarity: float = SIMILARITY) -> DataFrame:
+    """(a, b), a < b: similar sets, enough of them that the sets are connected as by all of similar_sets. Exact.
+
+    Small sets that meet by what is left without one or two tokens are all similar to the smallest of those that have just that left: a star
+    around it says as much as all their pairs, so that links grow with the keys of the sets and not with the square of those of one build.
+    """
+    few, role = _set_keys(sets, similarity, large=False), F.col("nr") % 2
+    first = F.min(F.when(role == 0, F.col("id"))).over(W.partitionBy("key").orderBy(role, "id").rowsBetween(W.unboundedPreceding, W.currentRow))
+    stars = few.select("id", first.alias("first")).filter("id <> first").select(F.least("id", "first").alias("a"), F.greatest("id", "first").alias("b")).distinct()
+    # Each written by itself: neither has to be kept with what the other shuffles.
+    stars = written(stars, "title-stars")
+    met = written(_meeting(_set_keys(sets, similarity, small=False), similarity), "title-met")
+    links = written(_compared(stars.withColumn("star", F.lit(True)).unionByName(met.withColumn("star", F.lit(False))), sets), "title-links")
+    for table in (stars, met):
+        drop_table(table)
+    near = F.col("similarity") >= similarity
+    if not links.filter(F.col("star") & ~near).isEmpty():  # two keys with one hash: a star may join the wrong ones
+        return similar_sets(sets, similarity).select("a", "b")
+    return links.filter(near).select("a", "b")
 
 
 def title_edges(posts: DataFrame, similarity: float = SIMILARITY) -> DataFrame:
-    """(a, b): near titles. Equal sets of words are a star around their smallest id, different ones are compared once."""
+    """(a, b): near titles, as many as connect all of them. Equal sets of words are a star around their smallest id."""
     classes = written(title_classes(posts), "title-classes")
-    near = similar_sets(classes.filter("id = rep").select("id", "tokens"), similarity).select("a", "b")
+    near = linked_sets(classes.filter("id = rep").select("id", "tokens"), similarity)
     return near.unionByName(classes.filter("id <> rep").select(F.col("rep").alias("a"), F.col("id").alias("b")))
 
 

@@ -191,6 +191,80 @@ def test_flags_of_posts_of_few_words_write_few_rows(spark, tmp_path, name):
         assert got == [("reddit", 1)]
 
 
+@pytest.mark.parametrize("similarity", [0.6, 0.8])
+def test_linked_sets_connect_as_all_pairs(spark, similarity):
+    rng = random.Random(6)
+    bases = [rng.sample(range(60), rng.choice([4, 9, 12, 13, 14, 20])) for _ in range(40)]
+    sets = {frozenset({*(x for x in base if rng.random() > 0.08), *rng.sample(range(60, 66), rng.randrange(2))}) for base in bases for _ in range(8)} - {frozenset()}
+    ids = {k: x for k, x in enumerate(sorted(sets, key=sorted))}
+    df = spark.createDataFrame([(k, [f"t{v}" for v in sorted(x)]) for k, x in ids.items()], "id bigint, tokens array<string>")
+    pairs = {(a, b) for a, x in ids.items() for b, y in ids.items() if a < b and len(x & y) >= similarity * len(x | y) - 1e-9}
+    links = {(r.a, r.b) for r in dup.linked_sets(df, similarity).collect()}
+    assert links <= pairs
+
+    def classes(edges):
+        root = {k: k for k in ids}
+
+        def top(k):
+            while root[k] != k:
+                k = root[k]
+            return k
+
+        for a, b in edges:
+            root[top(a)] = top(b)
+        found = {}
+        for k in ids:
+            found.setdefault(top(k), set()).add(k)
+        return {frozenset(x) for x in found.values()}
+
+    assert classes(links) == classes(pairs)
+
+
+@pytest.mark.parametrize("name", ["near_dup_clusters"])
+def test_posts_of_one_build_write_few_rows(spark, tmp_path, name):
+    from sparkrill.plans import registry
+
+    t, n = dt.datetime(2026, 1, 1), 400
+    rows = [(k, "reddit", None, f"we renamed our old migration plan with the slow gate {k}", t, 0, 0, ["SEO"]) for k in range(n)]
+    spark.createDataFrame(rows, "id bigint, source string, url string, title string, posted_at timestamp, score int, num_comments int, quality_flags array<string>").write.parquet(f"{tmp_path}/posts.parquet")
+    context = spark.sparkContext
+    store, number = context._jsc.sc().statusStore(), context._jsc.sc().dagScheduler().nextStageId
+    before, limit = number(), spark.conf.get("spark.sql.autoBroadcastJoinThreshold")
+    spark.conf.set("spark.sql.autoBroadcastJoinThreshold", "-1")
+    try:
+        got = [tuple(r) for r in registry.queries()[name](spark, str(tmp_path)).collect()]
+    finally:
+        spark.conf.set("spark.sql.autoBroadcastJoinThreshold", limit)
+    context._jsc.sc().listenerBus().waitUntilEmpty(30_000)
+    written = sum(store.lastStageAttempt(k).shuffleWriteRecords() for k in range(before, number()))
+    assert 0 < written < 150 * n  # their pairs alone are 200 times the posts
+    if name == "near_dup_clusters":
+        assert sorted(got) == [(k, 0, 0) for k in range(n)]
+    elif name == "duplicate_flags":
+        assert {r[0]: r[1] for r in got} == {0: ["SEO"], **{k: ["CANONICAL:0", "DUPLICATE", "SEO"] for k in range(1, n)}}
+    else:
+        assert got == [("reddit", n - 1)]
+
+
+def test_written_tables_leave_no_shuffles(spark):
+    from pathlib import Path
+
+    from sparkrill.storage import drop_table, written
+
+    blocks = spark._jvm.org.apache.spark.SparkEnv.get().blockManager().diskBlockManager()
+
+    def shuffles():
+        return {x.rsplit("/", 1)[-1] for x in blocks.getAllFiles().mkString("\n").split("\n") if x.endswith(".data")}
+
+    before = shuffles()
+    table = written(spark.range(1000).repartition(7).groupBy((F.col("id") % 10).alias("k")).count(), "left")
+    assert shuffles() <= before
+    files = [Path(f.removeprefix("file://")) for f in table.inputFiles()]
+    assert table.count() == 10 and files and all(f.exists() for f in files)
+    drop_table(table)
+    assert not any(f.exists() for f in files)
+
+
 def test_duplicates(spark):
     t = dt.datetime(2026, 1, 1)
     rows = [
