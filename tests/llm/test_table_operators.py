@@ -180,6 +180,30 @@ def test_history_with_a_fingerprint_of_very_many(spark):
         assert got <= want and len(got) >= 0.97 * len(want) > 30, (len(got), len(want))
 
 
+def test_history_goes_through_common_fingerprints_in_rounds(spark, monkeypatch):
+    """Posts of one frame have holders by its square; what is shuffled at once stays bounded, and the pairs are the same."""
+    rng = random.Random(8)
+    words = [" ".join([*(f"g{j}" for j in range(40)), *(f"w{rng.randrange(10**6)}" for _ in range(8))]) for _ in range(300)]
+    frame = spark.createDataFrame([(k, text, k % 3) for k, text in enumerate(words)], "id bigint, content string, day int")
+    real, rounds, found = history_dedup.History._common, [], []
+
+    def common(*args):
+        rounds.append(real(*args))
+        assert all(len(table.inputFiles()) for table in rounds[-1])
+        seen.append({(r.x, r.y) for table in rounds[-1] for r in table.collect()})
+        return rounds[-1]
+
+    monkeypatch.setattr(history_dedup.History, "_common", common)
+    monkeypatch.setattr(history_dedup, "_HELD", 1)
+    seen = []
+    for per_text in (10**6, 100):
+        monkeypatch.setattr(history_dedup, "_HELD_PER_TEXT", per_text)
+        got = history_dedup.History(spark, partitions=3).admit(frame, "id", "content", "day").collect()
+        found.append({r.id for r in got})
+    assert found[0] == found[1] == set(range(1, 300)) - {k for k in range(300) if k % 3 == 0}
+    assert len(rounds[0]) == 1 and len(rounds[1]) > 5 and seen[0] == seen[1] and len(seen[0]) > 10_000
+
+
 def test_pieces_of_sorted_files(tmp_path, monkeypatch):
     import numpy as np
     import pyarrow as pa
