@@ -8,7 +8,7 @@ import uuid
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from sparkrill.storage import drop_folder, get_text, names_in, put_text
+from sparkrill.storage import drop_folder, get_text, names_in, no_shuffles_left, put_text
 
 # What a post must have, and what a later fetch changes.
 REQUIRED = ["source", "external_id", "title", "posted_at"]
@@ -89,7 +89,8 @@ class Snapshots:
     def _commit(self, rows: DataFrame, key: list[str], kept: dict[str, str], buckets: int) -> int:
         k, token = self.version() + 1, uuid.uuid4().hex[:12]
         placed = rows.withColumn("bucket", F.pmod(F.hash(*key), F.lit(buckets)))
-        placed.repartition("bucket").write.partitionBy("bucket").parquet(f"{self.path}/{token}")
+        with no_shuffles_left(self.spark):
+            placed.repartition("bucket").write.partitionBy("bucket").parquet(f"{self.path}/{token}")
         new = {n.split("=")[1]: token for n in names_in(self.spark, f"{self.path}/{token}") if n.startswith("bucket=")}
         old = set(self._manifest()["folders"].values())
         put_text(self.spark, f"{self.path}/manifests/{k:08d}.json", json.dumps({"buckets": buckets, "key": key, "folders": {**kept, **new}}))

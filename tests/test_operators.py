@@ -220,7 +220,7 @@ def test_linked_sets_connect_as_all_pairs(spark, similarity):
     assert classes(links) == classes(pairs)
 
 
-@pytest.mark.parametrize("name", ["near_dup_clusters"])
+@pytest.mark.parametrize("name", ["near_dup_clusters", "flags_written"])
 def test_posts_of_one_build_write_few_rows(spark, tmp_path, name):
     from sparkrill.plans import registry
 
