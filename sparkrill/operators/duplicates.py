@@ -12,33 +12,55 @@ from pyspark.sql.types import LongType
 
 from sparkrill.functions.text import canonical_url, title_tokens
 from sparkrill.operators.components import components
-from sparkrill.storage import drop_table, written
+from sparkrill.storage import drop_table, written, written_in_rounds
 
 SIMILARITY, MIN_TOKENS, MAX_HAMMING = 0.8, 4, 3
 DELETING = 32  # tokens of two sets together, up to which they may meet by what is left without two
+# Sets that a round of classes or stars takes, up to the most rounds: each shuffles its share, and all of them read all sets.
+ROUND, ROUNDS = 100_000, 6
 # Which source stays before which.
 SOURCE_RANK = {"lobsters": 0, "hackernews": 1, "devto": 2, "reddit": 3, "threads": 4}
 
 
 def url_edges(posts: DataFrame) -> DataFrame:
-    """(a, b): each post with the smallest id of its canonical address; a star, so a popular address makes no pairs."""
-    named = posts.select("id", canonical_url(F.col("url")).alias("key")).filter("key is not null")
+    """(a, b): each post with the smallest id of its canonical address; a star, so a popular address makes no pairs. A written table."""
+    named = written(posts.select("id", canonical_url(F.col("url")).alias("key")).filter("key is not null"), "urls")
     # Only addresses of several posts take part: few rows, which are broadcast where they are small, and no address is sorted whole.
     shared = named.groupBy("key").agg(F.min("id").alias("a"), F.count("*").alias("n")).filter("n > 1").select("key", "a")
-    return named.join(shared, "key").filter("id <> a").select("a", F.col("id").alias("b"))
+    edges = written(named.join(shared, "key").filter("id <> a").select("a", F.col("id").alias("b")), "url-edges")
+    drop_table(named)
+    return edges
+
+
+def title_sets(posts: DataFrame, min_tokens: int = MIN_TOKENS) -> DataFrame:
+    """(id, tokens) of posts with enough title words."""
+    return posts.select("id", F.array_sort(title_tokens(F.col("title"))).alias("tokens")).filter(F.size("tokens") >= min_tokens)
+
+
+def set_classes(sets: DataFrame) -> DataFrame:
+    """(id, rep, tokens) of sets (id, tokens); rep is the smallest id with the same set."""
+    return sets.join(sets.groupBy("tokens").agg(F.min("id").alias("rep")), "tokens")
 
 
 def title_classes(posts: DataFrame, min_tokens: int = MIN_TOKENS) -> DataFrame:
     """(id, rep, tokens) of posts with enough title words; rep is the smallest id with the same set of words."""
-    sets = posts.select("id", F.array_sort(title_tokens(F.col("title"))).alias("tokens")).filter(F.size("tokens") >= min_tokens)
-    return sets.join(sets.groupBy("tokens").agg(F.min("id").alias("rep")), "tokens")
+    return set_classes(title_sets(posts, min_tokens))
+
+
+def _rounds(sets: DataFrame) -> int:
+    return min(ROUNDS, sets.count() // ROUND + 1)
 
 
-def _set_keys(sets: DataFrame, similarity: float, small: bool = True, large: bool = True) -> DataFrame:
+def _first_by_parts(share: float, eps: float = 1e-9) -> int:
+    """The smallest number of tokens of two sets together for which they meet by parts."""
+    return next(s for s in itertools.count(1) if s > DELETING or int(s * share + eps) > 2)
+
+
+def _set_keys(sets: DataFrame, similarity: float, small: bool = True, large: bool = True, check: bool = False) -> DataFrame:
     """(key, id, nr, bits): the keys that similar sets meet by; nr is twice the number of tokens, and one more where a key only looks for whole ones.
-    small: those by what is left; large: those by parts."""
+    small: those by what is left, with a second hash of it in bits if check; large: those by parts."""
     share, eps = (1 - similarity) / (1 + similarity), 1e-9
-    first = next(s for s in itertools.count(1) if s > DELETING or int(s * share + eps) > 2)
+    first = _first_by_parts(share, eps)
     n, zero = F.size("h"), F.lit(0).cast("bigint")
 
     def xor(values: Column) -> Column:
@@ -57,15 +79,19 @@ def _set_keys(sets: DataFrame, similarity: float, small: bool = True, large: boo
     def either(condition: Column, array: Column) -> Column:
         return F.when(condition, array).otherwise(F.array().cast("array<struct<key:bigint,nr:int,bits:bigint>>"))
 
-    whole, h = F.col("whole"), F.col("h")
-    one = F.transform(h, lambda x: whole.bitwiseXOR(x))
-    two = F.flatten(F.transform(h, lambda x, i: F.transform(F.slice(h, i + 2, n), lambda y: whole.bitwiseXOR(x).bitwiseXOR(y))))
-    few = [
-        either(2 * n < first, rows(F.array(whole), 0)),
-        either(deleting(2 * n - 1, 1), rows(one, 1)),
-        either(deleting(2 * n - 2, 2), rows(two, 1)),
-        either(deleting(2 * n, 2), rows(F.transform(one, lambda k: F.xxhash64(k)), 0)),
-    ]
+    def left(whole: Column, h: Column) -> list[Column]:
+        """What is left of a set: all; without each token; without each two; without each token, for sets that lack one each."""
+        one = F.transform(h, lambda x: whole.bitwiseXOR(x))
+        two = F.flatten(F.transform(h, lambda x, i: F.transform(F.slice(h, i + 2, n), lambda y: whole.bitwiseXOR(x).bitwiseXOR(y))))
+        return [F.array(whole), one, two, F.transform(one, lambda k: F.xxhash64(k))]
+
+    def checked(keys: Column, checks: Column, role: int) -> Column:
+        return F.zip_with(keys, checks, lambda k, c: F.struct(k.alias("key"), (n * 2 + role).alias("nr"), c.alias("bits")))
+
+    h = F.col("h")
+    when = [2 * n < first, deleting(2 * n - 1, 1), deleting(2 * n - 2, 2), deleting(2 * n, 2)]
+    keys, roles = left(F.col("whole"), h), [0, 1, 1, 0]
+    few = [either(w, checked(k, c, role)) for w, k, c, role in zip(when, keys, left(F.col("whole2"), F.col("h2")), roles)] if check else [either(w, rows(k, role)) for w, k, role in zip(when, keys, roles)]
     # Numbers of parts, each with the one before it: those that some size of the other set asks for.
     steps = [1, *[x << k for k in range(18) for x in (2, 3)]]
     low, high = F.greatest(n + F.ceil(n * similarity - eps).cast("int"), F.lit(first)), n + F.floor(n / similarity + eps).cast("int")
@@ -79,7 +105,8 @@ def _set_keys(sets: DataFrame, similarity: float, small: bool = True, large: boo
         return F.xxhash64(key, s["parts"], s["q"])
 
     parts = F.concat(rows(F.transform(inside, lambda s: named(xor(s["h"]), s)), 0, bits), rows(F.flatten(F.transform(inside, lambda s: F.transform(s["h"], lambda x: named(xor(s["h"]).bitwiseXOR(x), s)))), 1, bits))
-    hashed = sets.filter(F.size("tokens") > 0).select("id", F.transform("tokens", lambda t: F.xxhash64(t)).alias("h")).select("id", "h", xor(F.col("h")).alias("whole"))
+    hashed = sets.filter(F.size("tokens") > 0).select("id", F.transform("tokens", lambda t: F.xxhash64(t)).alias("h"), F.transform("tokens", lambda t: F.xxhash64(F.lit(2), t)).alias("h2"))
+    hashed = hashed.select("id", "h", "h2", xor(F.col("h")).alias("whole"), xor(F.col("h2")).alias("whole2"))
     return hashed.select("id", F.explode(F.concat(*few * small, *[either(high >= first, parts)] * large)).alias("k")).select("k.key", "id", "k.nr", "k.bits")
 
 
@@ -113,31 +140,40 @@ def _compared(pairs: DataFrame, sets: DataFrame) -> DataFrame:
 
 
 def linked_sets(sets: DataFrame, similarity: float = SIMILARITY) -> DataFrame:
-    """(a, b), a < b: similar sets, enough of them that the sets are connected as by all of similar_sets. Exact.
+    """(a, b), a < b: similar sets, enough of them that the sets are connected as by all of similar_sets; a written table.
 
     Small sets that meet by what is left without one or two tokens are all similar to the smallest of those that have just that left: a star
     around it says as much as all their pairs, so that links grow with the keys of the sets and not with the square of those of one build.
+    What is left is known by 128 bits of hashes of its tokens, so that stars are not compared by their tokens again; sets that meet by parts are.
     """
-    few, role = _set_keys(sets, similarity, large=False), F.col("nr") % 2
-    first = F.min(F.when(role == 0, F.col("id"))).over(W.partitionBy("key").orderBy(role, "id").rowsBetween(W.unboundedPreceding, W.currentRow))
-    stars = few.select("id", first.alias("first")).filter("id <> first").select(F.least("id", "first").alias("a"), F.greatest("id", "first").alias("b")).distinct()
+    share, eps = (1 - similarity) / (1 + similarity), 1e-9
+    few, role, rounds = _set_keys(sets, similarity, large=False, check=True), F.col("nr") % 2, _rounds(sets)
+    first = F.min(F.when(role == 0, F.col("id"))).over(W.partitionBy("key", "bits").orderBy(role, "id").rowsBetween(W.unboundedPreceding, W.currentRow))
+
+    def stars(keys: DataFrame) -> DataFrame:
+        return keys.select("id", first.alias("first")).filter("id <> first").select(F.least("id", "first").alias("a"), F.greatest("id", "first").alias("b")).distinct()
+
+    # Sets meet under one key, so that keys can go round by round.
+    linked = [written_in_rounds((stars(few.filter(F.pmod("key", F.lit(rounds)) == k)) for k in range(rounds)), "title-stars")]
     # Each written by itself: neither has to be kept with what the other shuffles.
-    stars = written(stars, "title-stars")
-    met = written(_meeting(_set_keys(sets, similarity, small=False), similarity), "title-met")
-    links = written(_compared(stars.withColumn("star", F.lit(True)).unionByName(met.withColumn("star", F.lit(False))), sets), "title-links")
-    for table in (stars, met):
-        drop_table(table)
-    near = F.col("similarity") >= similarity
-    if not links.filter(F.col("star") & ~near).isEmpty():  # two keys with one hash: a star may join the wrong ones
-        return similar_sets(sets, similarity).select("a", "b")
-    return links.filter(near).select("a", "b")
+    many = sets.filter(F.size("tokens") + F.floor(F.size("tokens") / similarity + eps) >= _first_by_parts(share, eps))
+    met = written(_meeting(_set_keys(many, similarity, small=False), similarity), "title-met")
+    linked.append(written(_compared(met, many).filter(F.col("similarity") >= similarity).select("a", "b"), "title-links"))
+    drop_table(met)
+    return linked[0].unionByName(linked[1])
 
 
 def title_edges(posts: DataFrame, similarity: float = SIMILARITY) -> DataFrame:
-    """(a, b): near titles, as many as connect all of them. Equal sets of words are a star around their smallest id."""
-    classes = written(title_classes(posts), "title-classes")
+    """(a, b): near titles, as many as connect all of them; written tables. Equal sets of words are a star around their smallest id."""
+    sets = written(title_sets(posts), "title-sets")
+    rounds = _rounds(sets)
+    of = F.pmod(F.xxhash64("tokens"), F.lit(rounds))
+    classes = written_in_rounds((set_classes(sets.filter(of == k)) for k in range(rounds)), "title-classes")
+    drop_table(sets)
     near = linked_sets(classes.filter("id = rep").select("id", "tokens"), similarity)
-    return near.unionByName(classes.filter("id <> rep").select(F.col("rep").alias("a"), F.col("id").alias("b")))
+    equal = written(classes.filter("id <> rep").select(F.col("rep").alias("a"), F.col("id").alias("b")), "title-equal")
+    drop_table(classes)
+    return near.unionByName(equal)
 
 
 @F.pandas_udf(LongType())
@@ -178,7 +214,10 @@ def simhash_edges(posts: DataFrame, max_hamming: int = MAX_HAMMING, similarity:
 
 def clusters(posts: DataFrame) -> DataFrame:
     """(id, component) of the posts in a cluster of at least two."""
-    return components(url_edges(posts).unionByName(title_edges(posts)))
+    edges = title_edges(posts).unionByName(url_edges(posts))
+    found = components(edges)
+    drop_table(edges)
+    return found
 
 
 def canonicals(posts: DataFrame, clustered: DataFrame) -> DataFrame:

@@ -112,7 +112,9 @@ SELECT c.id, c.component, b.canonical_id FROM comp c JOIN best b ON b.component
 
 def duplicate_flags(spark: SparkSession, d: str) -> DataFrame:
     """Every post's flags after reconciliation with the clusters."""
-    return dup.reconciled_flags(base.posts(spark, d), near_dup_clusters(spark, d))
+    # Only duplicates get a mark: what found them is gone before the flags of all posts are shuffled.
+    picked = written(near_dup_clusters(spark, d).filter("id <> canonical_id").select("id", "canonical_id"), "picked")
+    return dup.reconciled_flags(base.posts(spark, d), picked)
 
 
 DUPLICATE_FLAGS = f"""

@@ -246,6 +246,42 @@ def test_posts_of_one_build_write_few_rows(spark, tmp_path, name):
         assert got == [("reddit", n - 1)]
 
 
+def test_duplicate_flags_shuffle_in_rounds(spark, tmp_path, monkeypatch):
+    """No stage shuffles the keys of all sets at once, and what found the clusters is deleted."""
+    from pathlib import Path
+
+    from sparkrill.plans import registry
+    from sparkrill.storage import shared_dir
+
+    monkeypatch.setattr(dup, "ROUND", 100, raising=False)
+    t, n = dt.datetime(2026, 1, 1), 600
+    rows = [(k, "reddit", f"https://a.example/{k // 2}" if k > n else None, f"we renamed our old migration plan with the slow gate {k}" if k < n else "short", t, 0, 0, ["SEO"]) for k in range(n + 4)]
+    spark.createDataFrame(rows, "id bigint, source string, url string, title string, posted_at timestamp, score int, num_comments int, quality_flags array<string>").write.parquet(f"{tmp_path}/posts.parquet")
+    context, folder = spark.sparkContext, Path(shared_dir(spark).removeprefix("file://"))
+    store, number = context._jsc.sc().statusStore(), context._jsc.sc().dagScheduler().nextStageId
+    before, limit, there = number(), spark.conf.get("spark.sql.autoBroadcastJoinThreshold"), {*folder.iterdir()}
+    spark.conf.set("spark.sql.autoBroadcastJoinThreshold", "-1")
+    try:
+        got = {r.id: r.quality_flags for r in registry.queries()["duplicate_flags"](spark, str(tmp_path)).collect()}
+    finally:
+        spark.conf.set("spark.sql.autoBroadcastJoinThreshold", limit)
+    context._jsc.sc().listenerBus().waitUntilEmpty(30_000)
+    assert 0 < max(store.lastStageAttempt(k).shuffleWriteRecords() for k in range(before, number())) < 20 * n  # a set has 79 keys
+    assert {x.name.rsplit("-", 1)[0] for x in {*folder.iterdir()} - there} <= {"components", "clusters", "picked"}
+    double = ["CANONICAL:0", "DUPLICATE", "SEO"]
+    assert got == {0: ["SEO"], **{k: double for k in range(1, n)}, n: ["SEO"], n + 1: ["SEO"], n + 2: ["SEO"], n + 3: [f"CANONICAL:{n + 2}", "DUPLICATE", "SEO"]}
+
+
+def test_linked_sets_in_rounds_connect_as_all_pairs(spark, monkeypatch):
+    monkeypatch.setattr(dup, "ROUND", 20)
+    rng = random.Random(8)
+    bases = [rng.sample(range(60), rng.choice([4, 9, 12, 13, 14, 20])) for _ in range(30)]
+    sets = {frozenset(x for x in base if rng.random() > 0.06) for base in bases for _ in range(6)} - {frozenset()}
+    df = spark.createDataFrame([(k, [f"t{v}" for v in sorted(x)]) for k, x in enumerate(sorted(sets, key=sorted))], "id bigint, tokens array<string>")
+    got, want = ({(r.id, r.component) for r in components(edges).collect()} for edges in (dup.linked_sets(df), dup.similar_sets(df)))
+    assert got == want and len(want) > 20
+
+
 def test_written_tables_leave_no_shuffles(spark):
     from pathlib import Path
 
