@@ -39,7 +39,7 @@ def title_sets(posts: DataFrame, min_tokens: int = MIN_TOKENS) -> DataFrame:
 
 def set_classes(sets: DataFrame) -> DataFrame:
     """(id, rep, tokens) of sets (id, tokens); rep is the smallest id with the same set."""
-    return sets.join(sets.groupBy("tokens").agg(F.min("id").alias("rep")), "tokens")
+    return sets.hint("merge").join(sets.groupBy("tokens").agg(F.min("id").alias("rep")), "tokens")
 
 
 def title_classes(posts: DataFrame, min_tokens: int = MIN_TOKENS) -> DataFrame:
@@ -128,13 +128,15 @@ def _meeting(keys: DataFrame, similarity: float) -> DataFrame:
     right = keys.select("key", F.col("id").alias("y"), F.col("nr").alias("ny"), F.col("bits").alias("by"))
     total = F.shiftright("nx", 1) + F.shiftright("ny", 1)
     near = (F.col("x") != F.col("y")) & ((F.col("ny") % 2 == 1) | (F.col("x") < F.col("y"))) & (hamming(F.col("bx"), F.col("by")) <= total * ((1 - similarity) / (1 + similarity)) + 1e-9)
-    return left.join(right, "key").filter(near).select(F.least("x", "y").alias("a"), F.greatest("x", "y").alias("b")).distinct()
+    # Keys are taken to be as few as the sets they come from: without the hint, up to some size of these all keys go through the driver.
+    return left.hint("merge").join(right, "key").filter(near).select(F.least("x", "y").alias("a"), F.greatest("x", "y").alias("b")).distinct()
 
 
 def _compared(pairs: DataFrame, sets: DataFrame) -> DataFrame:
     """pairs (a, b and more) of sets with their similarity."""
     whole, more = sets.select("id", "tokens"), [c for c in pairs.columns if c not in ("a", "b")]
-    joined = pairs.join(whole.select(F.col("id").alias("a"), F.col("tokens").alias("x")), "a").join(whole.select(F.col("id").alias("b"), F.col("tokens").alias("y")), "b")
+    # Sets are compressed in files, many times where they have few words: their size there doesn't tell what they are in the driver.
+    joined = pairs.join(whole.select(F.col("id").alias("a"), F.col("tokens").alias("x")).hint("merge"), "a").join(whole.select(F.col("id").alias("b"), F.col("tokens").alias("y")).hint("merge"), "b")
     shared = F.size(F.array_intersect("x", "y"))
     return joined.select("a", "b", *more, (shared / (F.size("x") + F.size("y") - shared)).alias("similarity"))
 

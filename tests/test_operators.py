@@ -145,6 +145,15 @@ def test_similar_sets_of_all_sizes(spark, similarity):
     assert set(got) == want and len(got) == len(want) and want
 
 
+def test_similar_sets_send_nothing_through_the_driver(spark, tmp_path):
+    titles = [(k, " ".join(f"w{x}" for x in [*range(8), k % 40])) for k in range(200)]
+    spark.createDataFrame(titles, "id int, title string").write.parquet(str(tmp_path / "titles"))
+    classes = dup.title_classes(spark.read.parquet(str(tmp_path / "titles")))
+    found = dup.similar_sets(classes.filter("id = rep").select("id", "tokens"))
+    assert len(found.collect()) == 32 * 31 // 2 + 32  # 32 sets with one word of their own, and the one that all the others have
+    assert "Broadcast" not in found._jdf.queryExecution().executedPlan().toString()
+
+
 def test_similar_sets_of_few_words_write_few_rows(spark):
     """Titles of one build share their words with hundreds of others; what is shuffled has to follow their tokens."""
     rng = random.Random(4)
