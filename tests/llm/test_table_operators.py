@@ -2,6 +2,7 @@
 
 import datetime as dt
 import random
+from collections import Counter
 
 import pytest
 from pyspark.sql import functions as F
@@ -204,6 +205,45 @@ def test_history_goes_through_common_fingerprints_in_rounds(spark, monkeypatch):
     assert len(rounds[0]) == 1 and len(rounds[1]) > 5 and seen[0] == seen[1] and len(seen[0]) > 10_000
 
 
+def test_history_leaves_holders_that_share_too_little_where_they_are(spark, monkeypatch):
+    """Texts of the same sentences, of which any two have few: all texts that share enough are judged, and the others are not shuffled."""
+    import numpy as np
+
+    rng = random.Random(3)
+    sentences = [" ".join(f"s{k}w{j}" for j in range(20)) for k in range(100)]
+    texts = [" ".join(rng.sample(sentences, 12)) for _ in range(600)]
+    texts += [t.replace("w7 ", "w8 ", 2) for t in texts[:20]]
+    posts = spark.createDataFrame([(k, t, k // 200) for k, t in enumerate(texts)], "id bigint, content string, day int")
+    real, tables, at = history_dedup.History._common, [], {}
+
+    def common(self, judged, token, *args):
+        tables.extend(real(self, judged, token, *args))
+        at.update({r.loc: r.id for r in spark.read.parquet(f"{self.folder}/texts/{token}").collect()})
+        got.update((at[r.x], at[r.y]) for table in tables for r in table.collect())
+        return tables
+
+    monkeypatch.setattr(history_dedup.History, "_common", common)
+    monkeypatch.setattr(history_dedup, "_HELD", 1 << 10)
+    monkeypatch.setattr(history_dedup, "_HELD_PER_TEXT", 10)
+    got = set()
+    found = {r.id for r in history_dedup.History(spark, partitions=3).admit(posts, "id", "content", "day").collect()}
+    assert found == set(range(600, 620)) and len(tables) < 12
+
+    values, places = shingles(*tokens(texts), history_dedup.WORDS, history_dedup.CHARACTERS)
+    prints, doc = history_dedup.winnow(values & ~np.uint64(1), places)
+    sets = [prints[doc == k].view(np.int64).tolist() for k in range(len(texts))]
+    count = Counter(p for s in sets for p in s)
+    want = set()
+    for x, own in enumerate(sets):
+        hot = sorted((count[p], p) for p in own if count[p] > history_dedup.COMMON)
+        if len(hot) < len(own) / 2:
+            continue
+        share = -(-len(hot) // 2)
+        asked = {p for _, p in hot[: len(hot) - share + min(share, 3)]}
+        want |= {(x, y) for y in range(x // 200 * 200) if len(asked & set(sets[y])) >= min(share, 3)}
+    assert got == want and len(want) > 20
+
+
 def test_pieces_of_sorted_files(tmp_path, monkeypatch):
     import numpy as np
     import pyarrow as pa
